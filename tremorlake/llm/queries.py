@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import pii, rules, urls
+from tremorlake.llm import packing, pii, rules, tokens, urls
 from tremorlake.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, size=2048, end_id=0)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.apply_quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -40,6 +52,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
 }
 

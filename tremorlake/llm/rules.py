@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows on which the order of the rules is estimated; the order changes no verdict.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 256
 
 _WHITE = r" \u0009\u000A\u000B\u000C\u000D"
 
