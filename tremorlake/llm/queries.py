@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import packing, pii, rules, tokens, urls
+from tremorlake.llm import packing, pii, quality, rules, tokens, urls
 from tremorlake.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ URL_RULES = [
 ]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", quality.fold("doc_id") != 0)
+    scored = quality.score_quality(docs, model, threshold=0.3)
+    return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -50,6 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
