@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import dedup, packing, pii, quality, rules, tokens, urls
+from tremorlake.llm import decontaminate, dedup, packing, pii, quality, rules, tokens, urls
 from tremorlake.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), spec=dedup.NearDuplicates(shingle=4, percent=80))
 
@@ -62,6 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
