@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tremorlake.llm import decontaminate, dedup, packing, pii, quality, rules, tokens, urls
+from tremorlake.llm import decontaminate, dedup, packing, pii, quality, repeats, rules, tokens, urls, warc
 from tremorlake.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.concat_ws("; ", F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    page = F.floor(F.col("record_id") / 2)
+    return resolved.select(
+        page.cast("long").alias("page_id"), F.col("url").alias("canonical_url"), F.floor(F.col("refers_to") / 2).cast("long").alias("refers_to"),
+        "digest", "outcome", F.when(F.col("headers").isNotNull(), headers).alias("headers"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,8 +75,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_pii": op5_pii,
@@ -73,10 +90,46 @@ QUERIES: dict[str, Query] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op2_warc_revisits"] = r"""
+WITH p AS (
+    SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html,
+           regexp_replace(url, '(?s)#.*$', '') AS bare, starts_with(lower(coalesce(url, '')), 'https') AS secure
+    FROM pages
+),
+c AS (
+    SELECT *, regexp_extract(bare, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)(.*)$', ['s', 'h', 'r']) AS u FROM p
+),
+d AS (
+    SELECT rid, page_id, html, secure, md5(html) AS digest, CASE WHEN secure THEN '"' || left(md5(html), 16) || '"' END AS tag,
+           CASE WHEN u.s = '' THEN bare
+                ELSE CASE WHEN lower(u.s) = 'http' THEN 'https' ELSE lower(u.s) END || '://'
+                     || regexp_replace(lower(u.h), ':(80|443)?$', '') || CASE WHEN starts_with(u.r, '/') THEN '' ELSE '/' END || u.r
+           END AS curl
+    FROM c
+),
+j AS (
+    SELECT a.page_id, a.curl, a.tag, b.page_id AS found, b.tag AS stored, b.digest, strlen(b.html) AS size,
+           row_number() OVER (PARTITION BY a.rid ORDER BY b.page_id DESC NULLS LAST) AS k
+    FROM d a LEFT JOIN d b ON a.curl = b.curl AND 10 * b.page_id < 10 * a.page_id + 100005
+),
+o AS (
+    SELECT *, CASE WHEN found IS NULL THEN 'no_earlier_response'
+                   WHEN tag IS NOT NULL AND stored IS NOT NULL THEN CASE WHEN tag = stored THEN 'resolved' ELSE 'etag_differs' END
+                   WHEN found = page_id THEN 'resolved' ELSE 'date_differs' END AS outcome
+    FROM j WHERE k = 1
+)
+SELECT page_id, curl AS canonical_url, CASE WHEN outcome = 'resolved' THEN found END AS refers_to,
+       CASE WHEN outcome = 'resolved' THEN digest END AS digest, outcome,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=600; content-length=' || size || '; content-type=text/html; date='
+            || (10 * page_id + 100005) || coalesce('; etag=' || coalesce(tag, stored), '') || '; last-modified=day ' || page_id END AS headers
+FROM o
+"""
+
 ORACLES["op6_url_filter"] = """
 WITH parts AS (
     SELECT page_id,
