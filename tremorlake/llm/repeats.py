@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorlake.llm.runtime import cut, shuffle_partitions
-from tremorlake.llm.textkit import mix, run_hash, text_slices, words
+from tremorlake.llm.textkit import mix, packed, run_hash, text_slices, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def _doubtful(blocks: DataFrame, facts: DataFrame, spec: Repeats) -> DataFrame:
         mixed = _sorted(known, _MIXED, "h1")[0]
         parts = [np.zeros((0, 2), dtype=np.int64)]
         if len(mixed):
-            for _, _, data, offsets in text_slices(texts.column("text").combine_chunks()):
+            for _, _, data, offsets in text_slices(unpacked(texts.column("text"))):
                 w = Windows(data, offsets, spec)
                 runs = np.flatnonzero(_among(w.anchor.view(np.int64), mixed))
                 parts.append(np.stack(w.prints(w.starts_of(runs)), axis=1))
@@ -182,12 +182,26 @@ def _located(w: Windows, recurring: np.ndarray, texts: list[list[bytes]]) -> lis
     return covered
 
 
+def _packed(blocks: DataFrame, text: str) -> DataFrame:
+    """The same rows with the texts compressed, as they go through a shuffle."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in blocks.schema.fields])
+    at = blocks.columns.index(text)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [packed(c) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return blocks.mapInArrow(made, schema)
+
+
 def _cleaned(blocks: DataFrame, facts: DataFrame, spec: Repeats, names: list[str], at: int, schema: T.StructType) -> DataFrame:
     def made(texts: pa.Table, known: pa.Table) -> pa.Table:
         same, mixed = _sorted(known, _SAME, "h1")[0], _sorted(known, _MIXED, "h1")[0]
         one, two = _sorted(known, _WINDOW, "h1", "h2")
         n_words, n_removed, kept = [], [], []
-        for _, _, data, offsets in text_slices(texts.column(names[at]).combine_chunks()) if texts.num_rows else ():
+        whole = unpacked(texts.column(names[at])) if texts.num_rows else pa.array([], pa.large_string())
+        for _, _, data, offsets in text_slices(whole):
             body = data.tobytes()
             split = [body[a:b].split() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             covered: list[np.ndarray | None] = [None] * len(split)
@@ -204,7 +218,7 @@ def _cleaned(blocks: DataFrame, facts: DataFrame, spec: Repeats, names: list[str
                 n_words.append(len(own))
                 n_removed.append(0 if cover is None else int(cover.sum()))
                 kept.append(b" ".join(own if cover is None else compress(own, ~cover)))
-        columns = [texts.column(n) for n in names] if texts.num_rows else [pa.array([], pa.null())] * len(names)
+        columns = [whole.cast(pa.string()) if n == names[at] else texts.column(n) for n in names]
         new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.table([*columns, *new], [*names, "n_words", "n_removed", "kept_text"])
 
@@ -232,11 +246,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", spec: Repeats = Repeats(
     state = cut(state.where("n > 1").select("anchor", F.when(F.col("lo") == F.col("hi"), _SAME).otherwise(_MIXED).alias("kind")))
     anchors = found.select("anchor", "block").join(state, "anchor").select("block", "kind", F.col("anchor").alias("h1")).distinct()
     anchors = cut(anchors.withColumn("h2", F.lit(0).cast("long")))
-    doubtful = cut(_doubtful(source.select(block, F.col(names[at]).alias("text")), anchors.where(f"kind = {_MIXED}"), spec))
+    doubtful = cut(_doubtful(_packed(source.select(block, F.col(names[at]).alias("text")), "text"), anchors.where(f"kind = {_MIXED}"), spec))
     twice = doubtful.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     windows = doubtful.select("block", "h1", "h2").join(twice, ["h1", "h2"]).select("block", F.lit(_WINDOW).alias("kind"), "h1", "h2")
     schema = T.StructType(
         [*source.schema.fields, *(T.StructField(n, k) for n, k in zip(new, (T.LongType(), T.LongType(), T.StringType()), strict=True))]
     )
-    out = _cleaned(source.select(block, *names), anchors.unionByName(windows), spec, names, at, schema)
+    out = _cleaned(_packed(source.select(block, *names), names[at]), anchors.unionByName(windows), spec, names, at, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in new], *new)

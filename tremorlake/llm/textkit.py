@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Bytes of text that are worked on at once; a longer single text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -52,6 +53,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def packed(column: pa.Array) -> pa.Array:
+    """The texts of a column, each compressed, for a shuffle; null stays null."""
+    deflate = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    column = column.cast(pa.large_binary())
+    return pa.array((deflate(x.as_buffer()) if x.is_valid else None for x in column), pa.binary(), size=len(column))
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    inflate = zstandard.ZstdDecompressor().decompress
+    texts = [inflate(x.as_buffer()) if x.is_valid else None for x in column]
+    return pa.array(texts, pa.large_binary()).cast(pa.large_string())
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
