@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ class NearDuplicates:
     rows: int = 6
     universe_bits: int = 20
     seed: int = 17
+    hub_rounds: int = 4
+    crowd: int = 8
 
 
 @lru_cache(maxsize=4)
@@ -130,28 +132,73 @@ def _sets(docs: DataFrame, text: str, spec: NearDuplicates) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`")).mapInArrow(made, schema)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spec: NearDuplicates) -> DataFrame:
-    """Add `linked` to pairs (u, v) of class numbers, from the full sets of their documents."""
-    ids = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
+def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spec: NearDuplicates) -> DataFrame:
+    """(cid, hashes) of the classes in `ids`."""
     wanted = classes.join(ids, "cid", "left_semi").select("cid", "doc_id", "fp1", "fp2")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = _sets(texts, text, spec).join(wanted, ["doc_id", "fp1", "fp2"]).dropDuplicates(["cid"]).select("cid", "hashes")
-    sets = cut(sets)
+    return _sets(texts, text, spec).join(wanted, ["doc_id", "fp1", "fp2"]).dropDuplicates(["cid"]).select("cid", "hashes")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spec: NearDuplicates) -> DataFrame:
+    """Add `linked` and `shared`, the shingles in both, to pairs (u, v) of classes, from the full sets of their documents."""
+    ids = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
+    sets = cut(_sets_of(ids, classes, docs, text, spec))
     joined = pairs.join(sets.select(F.col("cid").alias("v"), F.col("hashes").alias("b")), "v").join(
         sets.select(F.col("cid").alias("u"), F.col("hashes").alias("a")), "u"
     )
-    shared = joined.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
-    return shared.select("u", "v", (100 * F.col("i") >= spec.percent * (F.col("n") - F.col("i"))).alias("linked"))
+    shared = joined.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).alias("n"))
+    return shared.select("u", "v", (100 * F.col("shared") >= spec.percent * (F.col("n") - F.col("shared"))).alias("linked"), "shared")
+
+
+#: What is known of a class in a band: how many of its shingles it can share with other
+#: classes of the band in all (reach), and inside (core) and outside (rest) the first hub's set.
+_BOUNDS = ("n", "reach", "core", "rest")
+
+
+def _possible(spec: NearDuplicates) -> str:
+    """Whether two classes can be linked, by what they can share at most."""
+    both = "least(reach, reach_2, least(core, core_2) + least(rest, rest_2))"
+    return f"100 * {both} >= {spec.percent} * (n + n_2 - {both})"
+
+
+def _other(prefix: str = "") -> list[Column]:
+    """The second of two classes: its number and bounds."""
+    return [F.col(f"{prefix}cid").alias("other"), *(F.col(f"{prefix}{b}").alias(f"{b}_2") for b in _BOUNDS)]
+
+
+def _with_bounds(
+    unsettled: DataFrame, hubs: DataFrame, judged: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spec: NearDuplicates
+) -> DataFrame:
+    """The rows of open bands with tighter bounds in crowded ones, without classes that can be linked to nothing there.
+
+    A shingle that only one class of all crowded open bands has is shared in none of them; the
+    others are the reach. Those of them in the set of the band's first hub, which is one of
+    these classes, are known from its comparison. With 100 * reach < percent * n no other class
+    can be linked. What is left out loses no link.
+    """
+    crowded = unsettled.where(f"c > {spec.crowd}").select("cid").distinct()
+    sets = _sets_of(crowded, classes, docs, text, spec)
+    single = sets.select("cid", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("cid").alias("cid"))
+    alone = single.where("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
+    near = unsettled.join(hubs, "band").where("cid = hub").select("band", "hub").distinct()
+    rows = unsettled.join(near, "band", "left").withColumns({"u": F.least("cid", "hub"), "v": F.greatest("cid", "hub")})
+    rows = rows.join(judged.select("u", "v", "shared"), ["u", "v"], "left").join(alone, "cid", "left")
+    busy, inside = F.col("c") > spec.crowd, F.when(F.col("cid") == F.col("hub"), F.col("n")).otherwise(F.col("shared"))
+    rows = rows.withColumn("reach", F.when(busy, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n")))
+    rows = rows.withColumn("core", F.when(busy, F.coalesce(inside, "reach")).otherwise(F.col("n")))
+    rows = rows.withColumn("rest", F.when(busy & inside.isNotNull(), F.col("reach") - inside).otherwise(F.col("reach")))
+    return rows.where(f"100 * reach >= {spec.percent} * n").select(*unsettled.drop("c").columns)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates = NearDuplicates()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (doc_id = component_id).
 
     Documents with equal shingle sets form a class; only classes are compared. Classes that
-    agree in a band are candidates, confirmed on full sets. In a band every class is compared
-    with a few of its members first; members that links already join need no comparison of
-    their own, and all pairs of a band that are not joined so are compared in the end, so no
-    link that bands can find is lost and no group is expanded into all pairs.
+    agree in a band are candidates, confirmed on full sets. In each band all classes are compared
+    with one of them, first that of most copies; members that links already join need no
+    comparison of their own. In bands that stay crowded, classes with too many shingles of their
+    own to be linked to any other are left out. Only pairs that are then neither joined nor ruled
+    out are compared each, so no link that bands can find is lost.
 
     A document without words has no shingles and is linked with nothing. A null doc_id is
     linked with nothing: component_id null, kept true. Rows that repeat a doc_id are rows of
@@ -159,36 +206,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
     """
     summaries = cut(_summaries(docs, text, spec))
     usable = summaries.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    grouped = usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    grouped = usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))
     bands = (
         usable.join(classes, ["doc_id", "fp1", "fp2"])
         .dropDuplicates(["cid"])
-        .select("cid", "n", F.explode("bands").alias("band"))
+        .select("cid", "n", "copies", F.explode("bands").alias("band"))
     )
     bands = cut(bands)
     shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    bands = cut(bands.join(shared, "band"))
+    bands = cut(bands.join(shared, "band").withColumns({b: F.col("n").cast("long") for b in _BOUNDS}))
 
-    schema = T.StructType([T.StructField(c, k) for c, k in (("u", T.LongType()), ("v", T.LongType()), ("linked", T.BooleanType()))])
+    kinds = (("u", T.LongType()), ("v", T.LongType()), ("linked", T.BooleanType()), ("shared", T.LongType()))
+    schema = T.StructType([T.StructField(c, k) for c, k in kinds])
     judged = docs.sparkSession.createDataFrame([], schema)
-    members = bands.select("band", "cid", "n", F.col("cid").alias("component"))
-    hub_orders = [F.struct("cid"), F.struct(-F.col("cid"), "cid"), F.struct(F.xxhash64("cid"), "cid")]
+    members = bands.withColumn("component", F.col("cid"))
+    turn = 0
     while True:
         open_bands = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
         open_bands = cut(open_bands.where("lo <> hi").select("band", "c"))
         rows, all_pairs = open_bands.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
         if not rows:
             break
-        unsettled = members.join(open_bands.select("band"), "band")
-        last = not hub_orders or all_pairs <= 2 * rows
+        unsettled = members.join(open_bands, "band")
+        last = turn >= spec.hub_rounds or all_pairs <= 2 * rows
+        if turn == 1 and not last:
+            bands = unsettled = cut(_with_bounds(unsettled, first_hubs, judged, classes, docs, text, spec))
         if last:
-            right = unsettled.select("band", F.col("cid").alias("other"), F.col("component").alias("far"), F.col("n").alias("m"))
-            pairs = unsettled.join(right, "band").where("component < far").select("cid", "n", "other", "m")
+            right = unsettled.select("band", F.col("component").alias("far"), *_other())
+            pairs = unsettled.join(right, "band").where(f"component < far AND {_possible(spec)}")
         else:
-            hubs = unsettled.groupBy("band").agg(F.min_by(F.struct("cid", "component", "n"), hub_orders.pop(0)).alias("hub"))
-            pairs = unsettled.join(hubs, "band").where("component <> hub.component").select("cid", "n", F.col("hub.cid").alias("other"), F.col("hub.n").alias("m"))
-        pairs = pairs.where(f"100 * least(n, m) >= {spec.percent} * greatest(n, m)")
+            order = F.struct(-F.col("copies"), "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)), "cid")
+            hubs = unsettled.groupBy("band").agg(F.min_by(F.struct("cid", "component", *_BOUNDS), order).alias("hub"))
+            if turn == 0:
+                hubs = cut(hubs)
+                first_hubs = hubs.select("band", F.col("hub.cid").alias("hub"))
+            pairs = unsettled.join(hubs, "band").where("component <> hub.component").select("cid", *_BOUNDS, *_other("hub."))
+            pairs = pairs.where(_possible(spec))
         pairs = pairs.select(F.least("cid", "other").alias("u"), F.greatest("cid", "other").alias("v")).distinct()
         pairs = cut(pairs.join(judged, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
@@ -197,10 +251,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
             break
         joined = connected_components(judged.where("linked").select("u", "v"))
         members = cut(
-            bands.join(joined, bands["cid"] == joined["id"], "left").select(
-                "band", "cid", "n", F.coalesce("component", "cid").alias("component")
-            )
+            bands.drop("component", "c").join(joined, bands["cid"] == joined["id"], "left")
+            .withColumn("component", F.coalesce("component", "cid")).drop("id")
         )
+        turn += 1
     of_class = connected_components(judged.where("linked").select("u", "v"))
     # Classes, and documents that have rows in several classes, link doc_ids.
     in_class = usable.select("fp1", "fp2", F.col("doc_id").alias("id")).distinct().join(classes, ["fp1", "fp2"])
