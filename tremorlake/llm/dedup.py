@@ -32,7 +32,7 @@ class NearDuplicates:
     rows: int = 6
     universe_bits: int = 20
     seed: int = 17
-    hub_rounds: int = 4
+    hub_rounds: int = 1
     crowd: int = 8
 
 
@@ -229,12 +229,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         if not rows:
             break
         unsettled = members.join(open_bands, "band")
-        last = turn >= spec.hub_rounds or all_pairs <= 2 * rows
-        if turn == 1 and not last:
+        few = all_pairs <= 2 * rows
+        last = few or turn >= spec.hub_rounds
+        if turn == 1 and not few:
             bands = unsettled = cut(_with_bounds(unsettled, first_hubs, judged, classes, docs, text, spec))
         if last:
-            right = unsettled.select("band", F.col("component").alias("far"), *_other())
-            pairs = unsettled.join(right, "band").where(f"component < far AND {_possible(spec)}")
+            # A pair counts in the first of the bands that it shares only.
+            left = unsettled.join(unsettled.groupBy("cid").agg(F.collect_list("band").alias("bands")), "cid")
+            right = left.select("band", F.col("component").alias("far"), F.col("bands").alias("bands_2"), *_other())
+            once = "band = array_min(array_intersect(bands, bands_2))"
+            pairs = left.join(right, "band").where(f"component < far AND {_possible(spec)} AND {once}")
         else:
             order = F.struct(-F.col("copies"), "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)), "cid")
             hubs = unsettled.groupBy("band").agg(F.min_by(F.struct("cid", "component", *_BOUNDS), order).alias("hub"))
