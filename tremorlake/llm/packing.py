@@ -21,9 +21,6 @@ PIECES_PER_GROUP = 2048
 #: Rounds of exchange among partitions that are not certified.
 ROUNDS = 4
 
-#: Texts that are tokenized at once, in characters.
-_BATCH_CHARS = 1 << 20
-
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,19 +38,12 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, text: s
         encoder = TokenIds(path)
         for batch in batches:
             rows: list[tuple] = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(ids):
-                some, first = [], at
-                while at < len(ids) and sum(map(len, some)) <= _BATCH_CHARS:
-                    some.append(texts[at].as_py() or "")
-                    at += 1
-                for doc, data in zip(ids[first:at], encoder.encode(some), strict=True):
-                    data += end
-                    n = len(data) // 4
-                    edges = [0, *range((n - 1) % size + 1, n + 1, size)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        rows.append((doc, k, a, b - a, zlib.crc32(memoryview(data)[4 * a : 4 * b])))
+            for doc, text_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = encoder.encode(text_.as_py() or "") + end
+                n = len(data) // 4
+                edges = [0, *range((n - 1) % size + 1, n + 1, size)]
+                for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                    rows.append((doc, k, a, b - a, zlib.crc32(memoryview(data)[4 * a : 4 * b])))
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
