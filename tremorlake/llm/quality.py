@@ -220,8 +220,12 @@ def train(
         usable.where("y = 0").orderBy(order, "doc_id").limit(per_class)
     )
     chosen = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.col(f"`{text}`").alias("__t"))
-    rows = sorted(_buckets_of(chosen, "__t", ["doc_id", "y"], buckets).collect(), key=lambda r: (r["doc_id"], r["found"]))
-    return fit([np.array(r["found"], dtype=np.int64) for r in rows], np.array([r["y"] == 1 for r in rows], dtype=bool), buckets, share)
+    # Arrow columns, not rows of Python numbers: the sample takes a few dozen MB on the driver.
+    sample = _buckets_of(chosen, "__t", ["doc_id", "y"], buckets).toArrow()
+    found = [f.values.to_numpy() for f in sample.column("found")]
+    ids, y = sample.column("doc_id").to_pylist(), sample.column("y").to_numpy()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i].tobytes()))
+    return fit([found[i] for i in order], y[order] == 1, buckets, share)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
