@@ -66,9 +66,46 @@ def vincenty_inverse(p1: np.ndarray, l1: np.ndarray, p2: np.ndarray, l2: np.ndar
             cos2_a = 1 - sin_a**2
             cos_m = np.where(cos2_a > 0, cos_s - 2 * np.sin(u1) * np.sin(u2) / np.where(cos2_a > 0, cos2_a, 1), 0)
             c = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
-            lam = span + (1 - c) * FLATTENING * sin_a * (sigma + c * sin_s * (cos_m + c * cos_s * (2 * cos_m**2 - 1)))
+            last, lam = lam, span + (1 - c) * FLATTENING * sin_a * (sigma + c * sin_s * (cos_m + c * cos_s * (2 * cos_m**2 - 1)))
+            if not (np.abs(lam - last) > 1e-13).any():
+                break
         k = cos2_a * (AXIS_KM**2 - minor**2) / minor**2
         big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
         small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
         inner = cos_s * (2 * cos_m**2 - 1) - small / 6 * cos_m * (4 * sin_s**2 - 3) * (4 * cos_m**2 - 3)
         return minor * big * (sigma - small * sin_s * (cos_m + small / 4 * inner))
+
+
+def destination(latitude: Column, longitude: Column, azimuth: Column, metres: Column) -> Column:
+    """struct(latitude, longitude) of the point at a geodesic distance along an azimuth in degrees, in Arrow batches."""
+
+    @F.pandas_udf("struct<latitude:double,longitude:double>")
+    def direct(p: pd.Series, l: pd.Series, a: pd.Series, s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("latitude", "longitude"), vincenty_direct(*(np.asarray(c, dtype=float) for c in (p, l, a, s))), strict=True)))
+
+    return direct(latitude, longitude, azimuth, metres)
+
+
+def vincenty_direct(p: np.ndarray, l: np.ndarray, azimuth: np.ndarray, metres: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes by Vincenty's direct series; a distance of 0 stays in place."""
+    minor = AXIS_KM * (1 - FLATTENING)
+    u, a = np.arctan((1 - FLATTENING) * np.tan(np.radians(p))), np.radians(azimuth)
+    sin_a = np.cos(u) * np.sin(a)
+    cos2_a = 1 - sin_a**2
+    start = np.arctan2(np.tan(u), np.cos(a))
+    k = cos2_a * (AXIS_KM**2 - minor**2) / minor**2
+    big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+    small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+    first = metres / 1000 / (minor * big)
+    sigma = first
+    for _ in range(rounds):
+        mid = np.cos(2 * start + sigma)
+        inner = np.cos(sigma) * (2 * mid**2 - 1) - small / 6 * mid * (4 * np.sin(sigma) ** 2 - 3) * (4 * mid**2 - 3)
+        sigma = first + small * np.sin(sigma) * (mid + small / 4 * inner)
+    mid = np.cos(2 * start + sigma)
+    across = np.sin(u) * np.sin(sigma) - np.cos(u) * np.cos(sigma) * np.cos(a)
+    lat = np.arctan2(np.sin(u) * np.cos(sigma) + np.cos(u) * np.sin(sigma) * np.cos(a), (1 - FLATTENING) * np.hypot(sin_a, across))
+    lam = np.arctan2(np.sin(sigma) * np.sin(a), np.cos(u) * np.cos(sigma) - np.sin(u) * np.sin(sigma) * np.cos(a))
+    c = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
+    span = lam - (1 - c) * FLATTENING * sin_a * (sigma + c * np.sin(sigma) * (mid + c * np.cos(sigma) * (2 * mid**2 - 1)))
+    return np.degrees(lat), l + np.degrees(span)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions import columns, geo
-from tremorlake.operators import relations, sampler, signals, spectra
+from tremorlake.operators import correction, relations, rupture, sampler, signals, spectra
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -388,3 +388,44 @@ def connected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _series(spark, sf_dir).withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("s", F.lit(10.0))
     history = sampler.connected_lines(rows, "user_id", "x", "value", "s", total=1000, most=6)
     return sampler.best_of_mode(history, "user_id", 200).select("user_id", "partitions", "step", "misfit")
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records over all tasks: a chain takes far more time than moving its record."""
+    return _table(spark, sf_dir, "embeddings").repartition("vec_id")
+
+
+@query()
+def arrival_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks in each vector taken as a record of 10 samples a second."""
+    rows = _spread(spark, sf_dir).select("vec_id", correction.pick_arrivals(F.col("vec_id"), _record(), 10.0).alias("p"))
+    return rows.select("vec_id", "p.position", "p.status", F.round(F.array_min("p.similarity"), 6).alias("least"))
+
+
+@query()
+def corrected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline correction of each vector with its arrival at sample 16, chains of 200 steps."""
+    made = correction.correct_records(F.col("vec_id"), _record(), F.lit(DT), F.col("label") >= 0, F.lit(16), total=200, burn_in=50)
+    rows = _spread(spark, sf_dir).select("vec_id", made.alias("c"))
+    peak = [F.round(F.array_max(F.transform(f"c.{k}", F.abs)), 6).alias(f"peak_{k}") for k in ("corrected", "filtered")]
+    return rows.select("vec_id", F.size("c.corrected").alias("samples"), *peak, F.round("c.fmin", 6).alias("fmin"), F.round("c.fmax", 6).alias("fmax"))
+
+
+@query()
+def rupture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stations, nations as events: points, models of one ring, planes, and events with neither."""
+    event = F.col("n_nationkey")
+    events = _table(spark, sf_dir, "nation").select(
+        event.alias("event"), (-20.0 - event).alias("latitude"), (-70.0 - event / 10).alias("longitude"),
+        (20.0 + event).alias("depth"), F.when(event % 2 == 0, 6.5).otherwise(7.5).alias("magnitude"),
+    )
+    key = F.col("c_custkey")
+    stations = _table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("event"), key.alias("station"), (-20.0 - key % 250 / 10).alias("station_lat"), (-70.0 - key % 30 / 10).alias("station_lon")
+    )
+    edge = ((-0.2, -0.2), (0.2, -0.2), (0.2, 0.2), (-0.2, 0.2), (-0.2, -0.2))
+    ring = F.array(*(F.struct((F.col("longitude") + a).alias("lon"), (F.col("latitude") + b).alias("lat"), F.lit(2000.0).alias("depth_m")) for a, b in edge))
+    models = events.where("event % 3 = 0").select("event", F.lit(1.0).alias("slip"), ring.alias("ring"))
+    planes = events.where("event % 3 = 1").select("event", F.lit(10.0).alias("strike"), F.lit(20.0).alias("dip"))
+    found = rupture.distances(stations.join(events, "event"), models, planes)
+    return _rounded(found, "rhypo", "repi", "rrup", "rjb", digits=4)
