@@ -52,11 +52,45 @@ def filter_catalogue(
     return df
 
 
-def nearest(left: DataFrame, grid: DataFrame, left_key: str, distance: Column, take: list[str], order: str) -> DataFrame:
+#: Rows of a grid that are broadcast at once.
+GRID_BLOCK = 200_000
+
+
+def nearest(left: DataFrame, grid: DataFrame, left_key: str, distance: Column, take: list[str], order: str, block: int = GRID_BLOCK) -> DataFrame:
     """For each left row the grid row of least distance, the first by `order` on ties.
 
-    The grid is a reference surface of bounded size; each left row meets all of it.
+    The grid is a reference surface, and each left row meets all of it: a grid of more than
+    `block` rows in blocks of about that size, whose winners meet again.
     """
-    joined = left.crossJoin(F.broadcast(grid)).withColumn("__d", distance).where("__d IS NOT NULL")
-    best = joined.groupBy(left_key).agg(F.min_by(F.struct(*take), F.struct("__d", order)).alias("__best"))
+    blocks = -(-grid.count() // block) or 1
+    rank = F.struct("__d", order)
+    number = F.pmod(F.xxhash64(*grid.columns), F.lit(blocks))
+    found = None
+    for k in range(blocks):
+        joined = left.crossJoin(F.broadcast(grid.where(number == k) if blocks > 1 else grid)).withColumn("__d", distance).where("__d IS NOT NULL")
+        won = joined.groupBy(left_key).agg(F.min(rank).alias("__rank"), F.min_by(F.struct(*take), rank).alias("__best"))
+        found = won if found is None else found.unionByName(won)
+    best = found.groupBy(left_key).agg(F.min_by("__best", "__rank").alias("__best")) if blocks > 1 else found
     return best.select(left_key, *[F.col(f"__best.{c}").alias(c) for c in take])
+
+
+def nearest_sample(values: Column, dt: float, time: Column, level: Column) -> Column:
+    """The sample of a record closest to the point (time, level), the first on ties; null for an empty record."""
+    far = lambda v, i: F.struct((F.pow(i * dt - time, 2) + F.pow(v - level, 2)).alias("d"), i.alias("i"))
+    return F.array_min(F.transform(values, far))["i"]
+
+
+def apply_decisions(state: DataFrame, decisions: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The state of picks after review: the last decision of each key, by `order`, sets position, status and method.
+
+    `decisions` has keys, order, position, verdict (valid, discarded or postponed; others change
+    nothing) and moved: the method is Manual where the reviewer moved the pick, else Automatic.
+    Keys that the state lacks are added; other columns of the state stay.
+    """
+    known = decisions.where("verdict IN ('valid', 'discarded', 'postponed')")
+    last = known.groupBy(*keys).agg(F.max_by(F.struct("position", "verdict", "moved"), order).alias("__last"))
+    joined = state.join(last, keys, "full")
+    decided, new = F.col("__last").isNotNull(), {
+        "position": F.col("__last.position"), "status": F.upper("__last.verdict"), "method": F.when(F.col("__last.moved"), "Manual").otherwise("Automatic")
+    }
+    return joined.withColumns({c: F.when(decided, v).otherwise(F.col(c)) for c, v in new.items()}).select(*state.columns)
