@@ -429,3 +429,23 @@ def rupture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes = events.where("event % 3 = 1").select("event", F.lit(10.0).alias("strike"), F.lit(20.0).alias("dip"))
     found = rupture.distances(stations.join(events, "event"), models, planes)
     return _rounded(found, "rhypo", "repi", "rrup", "rjb", digits=4)
+
+
+@query("""
+WITH d AS (SELECT l_orderkey, max(l_partkey * 100000 + l_suppkey) AS latest FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+w AS (SELECT DISTINCT l_orderkey, l_partkey % 1000 AS "position", CASE l_returnflag WHEN 'A' THEN 'VALID' ELSE 'DISCARDED' END AS status,
+      CASE WHEN l_linestatus = 'O' THEN 'Manual' ELSE 'Automatic' END AS method
+      FROM lineitem JOIN d USING (l_orderkey) WHERE l_returnflag <> 'N' AND l_partkey * 100000 + l_suppkey = latest)
+SELECT coalesce(o_orderkey, l_orderkey) AS event, CASE WHEN l_orderkey IS NULL THEN -1 ELSE "position" END AS "position", coalesce(status, 'PENDING') AS status, method
+FROM orders FULL JOIN w ON o_orderkey = l_orderkey
+""")
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pending picks, returned lines as decisions; a line kept changes nothing."""
+    none = F.lit(None).cast("string")
+    state = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.lit(-1).cast("long").alias("position"), F.lit("PENDING").alias("status"), none.alias("method"))
+    verdict = F.when(F.col("l_returnflag") == "A", "valid").when(F.col("l_returnflag") == "R", "discarded").otherwise("kept")
+    made = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("event"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("at"),
+        (F.col("l_partkey") % 1000).alias("position"), verdict.alias("verdict"), (F.col("l_linestatus") == "O").alias("moved"),
+    )
+    return relations.apply_decisions(state, made, ["event"], "at")
