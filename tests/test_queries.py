@@ -1,9 +1,11 @@
+import inspect
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tremorlake.operators import correction, sampler
 from tremorlake.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,3 +33,21 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(
+    "name, module, operator, whole",
+    [("corrected_records", correction, "correct_records", {"total": 100_000, "burn_in": 10_000}), ("connected_lines", sampler, "connected_lines", {"total": 2000, "most": 10})],
+)
+def test_chains_are_registered_whole(spark, sf_dir, monkeypatch, name, module, operator, whole):
+    plain, calls = getattr(module, operator), []
+
+    def noted(*args, **more):
+        bound = inspect.signature(plain).bind(*args, **more)
+        bound.apply_defaults()
+        calls.append(bound.arguments)
+        return plain(*args, **more)
+
+    monkeypatch.setattr(module, operator, noted)
+    catalog.QUERIES[name](spark, sf_dir)
+    assert [{k: c[k] for k in whole} for c in calls] == [whole]

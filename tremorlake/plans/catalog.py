@@ -384,15 +384,16 @@ def aligned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def connected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best line of the mode for each user's series, after a chain of 1,000 steps."""
+    """The best line of the mode for each user's series, after a whole chain of the operator."""
     rows = _series(spark, sf_dir).withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("s", F.lit(10.0))
-    history = sampler.connected_lines(rows, "user_id", "x", "value", "s", total=1000, most=6)
+    history = sampler.connected_lines(rows, "user_id", "x", "value", "s")
     return sampler.best_of_mode(history, "user_id", 200).select("user_id", "partitions", "step", "misfit")
 
 
 def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records over all tasks: a chain takes far more time than moving its record."""
-    return _table(spark, sf_dir, "embeddings").repartition("vec_id")
+    # A number of partitions is given, or else adaptive execution joins records of few bytes in one task.
+    return _table(spark, sf_dir, "embeddings").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
 
 
 @query()
@@ -404,8 +405,8 @@ def arrival_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corrected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline correction of each vector with its arrival at sample 16, chains of 200 steps."""
-    made = correction.correct_records(F.col("vec_id"), _record(), F.lit(DT), F.col("label") >= 0, F.lit(16), total=200, burn_in=50)
+    """Baseline correction of each vector with its arrival at sample 16, whole chains."""
+    made = correction.correct_records(F.col("vec_id"), _record(), F.lit(DT), F.col("label") >= 0, F.lit(16))
     rows = _spread(spark, sf_dir).select("vec_id", made.alias("c"))
     peak = [F.round(F.array_max(F.transform(f"c.{k}", F.abs)), 6).alias(f"peak_{k}") for k in ("corrected", "filtered")]
     return rows.select("vec_id", F.size("c.corrected").alias("samples"), *peak, F.round("c.fmin", 6).alias("fmin"), F.round("c.fmax", 6).alias("fmax"))
