@@ -1,5 +1,8 @@
+import random
 import re
 
+import numpy as np
+
 from tremorlake.llm import decontaminate, pii, rules, urls
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -50,6 +53,58 @@ def test_leaks_with_edits(spark, frame):
     assert {r.doc_id for r in decontaminate.drop_leaking(docs, bench).collect()} == {2, 3, 4}
 
 
+def least_edits(pattern, text):
+    """Least edits of the pattern to any part of text (Sellers), for each row of `pattern`."""
+    cost = np.repeat(np.arange(pattern.shape[1] + 1)[None], len(pattern), 0)
+    best = cost[:, -1].copy()
+    for symbol in text:
+        new = np.zeros_like(cost)
+        new[:, 1:] = np.minimum(cost[:, :-1] + (pattern != symbol), cost[:, 1:] + 1)
+        steps = np.arange(cost.shape[1])
+        cost = np.minimum.accumulate(new - steps, axis=1) + steps
+        best = np.minimum(best, cost[:, -1])
+    return best
+
+
+def leaks(item, text, matching):
+    body = np.frombuffer(item.encode(), dtype=np.uint8)
+    for size in {min(len(body), matching.short), min(len(body), matching.piece)}:
+        pieces = np.lib.stride_tricks.sliding_window_view(body, size)
+        if least_edits(pieces, np.frombuffer(text.encode(), dtype=np.uint8)).min() <= matching.budget(size):
+            return True
+    return False
+
+
+def test_partial_passages_against_brute_force():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(1, text(60)), (2, text(16)), (3, text(6)[:40])]
+    matching = decontaminate.Matching()
+    index = decontaminate.PieceIndex(items, matching)
+    passages = [items[0][1][at : at + 50].strip() for at in range(len(items[0][1]) - 49)]
+    for _ in range(120):
+        item = r.choice(items)[1]
+        at, size = r.randrange(len(item)), r.randint(30, 140)
+        part = list(item[at : at + size])
+        for _ in range(r.randint(0, 8)):
+            k = r.randrange(len(part) + 1)
+            part[k : k + r.randint(0, 1)] = r.choice(["", "k", "kl"])
+        passages.append(" ".join("".join(part).split()))
+    texts = [f"{text(4)} {p} {text(4)}" for p in passages] + passages + items[1][1].split()
+    edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = [set(found) for found in index.occurrences(np.frombuffer("".join(texts).encode(), dtype=np.uint8), edges)]
+    want = [{k for k, item in items if leaks(item, t, matching)} for t in texts]
+    assert got == want and 20 < sum(not w for w in want[len(passages) - 120 : len(passages)]) < 100
+
+
+def test_part_of_an_item_and_short_items(spark, frame):
+    item = " ".join(f"word{i} thing" for i in range(20))
+    bench = spark.createDataFrame([(1, "Two words"), (2, "x"), (3, "日本"), (4, item)], "item_id long, text string")
+    docs = frame([(1, "see: TWO  words."), (2, "two wordsmith"), (3, "x"), (4, "axe"), (5, "の日本の"), (6, "two"), (7, "words"), (8, " ".join(item.split()[5:18]))])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(1, 1), (3, 2), (5, 3), (8, 4)}
+
+
 def test_url_joins_agree_with_trie(spark):
     rules_ = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("block", "a.org")]
     pages = spark.createDataFrame([(1, "http://x.Example.com/en/78?q"), (2, "https://y.com/en/"), (3, None), (4, "nothing"), (5, "//z"), (6, "http://b.a.org")], "page_id long, url string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,9 @@ from tremorlake.llm.textkit import lower_ascii, run_hash, text_slices
 
 #: Bytes of benchmark texts that go to every executor at once.
 BLOCK_BYTES = 4 << 20
+#: Hits of texts, and starts of stretches to align, that are worked on at once; a single text with more hits is taken alone.
+HITS_AT_ONCE = 1 << 18
+STARTS_AT_ONCE = 1 << 12
 
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -22,16 +25,16 @@ _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 @dataclass(frozen=True)
 class Matching:
-    """An item leaks where a piece of it of `piece` bytes (all of a shorter one) recurs within its edit budget.
+    """An item leaks where any stretch of it of `short` or `piece` bytes (all of a shorter one) recurs within its edit budget.
 
-    Pieces begin every `step` bytes. The budget is `edits` for a full piece and in proportion
-    for a shorter one. Texts are compared with A-Z lower-cased and each run of ASCII
-    characters other than letters and digits as one space.
+    Stretches begin at every byte. The budget is `edits` for `piece` bytes and in proportion
+    for fewer. Items under `shortest` bytes recur exactly, as whole words. Texts are compared with
+    A-Z lower-cased and each run of ASCII characters other than letters and digits as one space.
     """
 
     q: int = 10
     piece: int = 96
-    step: int = 48
+    short: int = 50
     edits: int = 7
     shortest: int = 24
 
@@ -54,27 +57,27 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class PieceIndex:
-    """The q-grams of all pieces of a block of benchmark items, with their places."""
+    """The q-grams of a block of benchmark items, with their places."""
 
     def __init__(self, items: list[tuple[int, str | None]], matching: Matching) -> None:
         self.matching = matching
-        self.pieces: list[tuple[int, bytes]] = []
+        self.items: list[tuple[int, bytes]] = []
+        self.exact: dict[int, list[tuple[int, bytes]]] = {}
         q = matching.q
         grams, owner, place = [], [], []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             body = normalised(raw, np.array([0, len(raw)]))[0].tobytes().rstrip(b" ")
             if len(body) < matching.shortest:
+                if body:
+                    self.exact.setdefault(len(body), []).append((item, body))
                 continue
-            last = max(len(body) - matching.piece, 0)
-            for at in sorted({*range(0, last, matching.step), last}):
-                piece = body[at : at + matching.piece]
-                data = np.frombuffer(piece, dtype=np.uint8)
-                begin = np.arange(len(data) - q + 1)
-                grams.append(run_hash(23).of_bytes(data, begin, begin + q))
-                owner.append(np.full(len(begin), len(self.pieces)))
-                place.append(begin)
-                self.pieces.append((item, piece))
+            data = np.frombuffer(body, dtype=np.uint8)
+            begin = np.arange(len(data) - q + 1)
+            grams.append(run_hash(23).of_bytes(data, begin, begin + q))
+            owner.append(np.full(len(begin), len(self.items)))
+            place.append(begin)
+            self.items.append((item, body))
         hashes = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, starts = np.unique(hashes[order], return_index=True)
@@ -85,12 +88,17 @@ class PieceIndex:
         self.mask = np.uint64((1 << min(bits, 26)) - 1)
         self.may = np.zeros(int(self.mask) + 1, dtype=bool)
         self.may[self.hashes & self.mask] = True
-        self.length = np.array([len(p) for _, p in self.pieces], dtype=np.int64)
-        self.budgets = np.array([matching.budget(len(p)) for _, p in self.pieces], dtype=np.int64)
-        #: What the q-gram lemma asks of the diagonals of an occurrence within the budget.
-        self.least = np.maximum(self.length + 1 - q * (self.budgets + 1), 1)
+        self.bytes = np.frombuffer(b"".join(b for _, b in self.items), dtype=np.uint8)
+        self.length = np.array([len(b) for _, b in self.items], dtype=np.int64)
+        self.first = np.cumsum(self.length) - self.length
 
-    def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _asked(self, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By item: length of a stretch, its budget, and the hits that the q-gram lemma asks of the diagonals of an occurrence."""
+        length = np.minimum(self.length, piece)
+        budget = self.matching.edits * length // self.matching.piece
+        return length, budget, np.maximum(length + 1 - self.matching.q * (budget + 1), 1)
+
+    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of q-grams of the index in texts, and which each is."""
         q = self.matching.q
         if len(data) < q or not len(self.hashes):
@@ -103,77 +111,154 @@ class PieceIndex:
         real = self.hashes[which] == found[places]
         return places[real], which[real]
 
-    def occurrences(self, text: np.ndarray, places: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) in one text from its hits, at most one for each item."""
-        if len(places) < int(self.least.min(initial=1 << 30)):
+    def occurrences(self, data: np.ndarray, edges: np.ndarray) -> list[dict[int, tuple[int, int, int]]]:
+        """For each text the items that it holds, each with (edits, start, end) of one place in `data`."""
+        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(len(edges) - 1)]
+
+        def note(text: int, item: int, match: tuple[int, int, int]) -> None:
+            found[text][item] = min(found[text].get(item, match), match)
+
+        for length, items in self.exact.items():
+            self._whole(data, edges, length, items, note)
+        places, which = self.hits(data)
+        text = np.searchsorted(edges, places, side="right") - 1
+        keep = places + self.matching.q <= edges[text + 1]
+        places, which, text = places[keep], which[keep], text[keep]
+        total = np.concatenate([[0], np.cumsum(self.starts[which + 1] - self.starts[which])])
+        bounds = np.searchsorted(text, np.arange(len(edges)))
+        i = 0
+        while i < len(edges) - 1:
+            most = total[bounds[i]] + HITS_AT_ONCE
+            end = max(i + 1, int(np.searchsorted(total[bounds], most, side="right")) - 1)
+            part = slice(bounds[i], bounds[end])
+            if bounds[i] < bounds[end]:
+                self._near(data, edges, places[part], which[part], text[part], note)
+            i = end
+        return found
+
+    def _whole(self, data: np.ndarray, edges: np.ndarray, length: int, items: list[tuple[int, bytes]], note: Callable) -> None:
+        """Notes the items of `length` bytes that texts hold exactly; an ASCII edge of an item is the edge of a word."""
+        if len(data) < length:
             return
+        begin = np.arange(len(data) - length + 1)
+        found = run_hash(23).of_bytes(data, begin, begin + length)
+        patterns = np.frombuffer(b"".join(b for _, b in items), dtype=np.uint8)
+        at = np.arange(len(items)) * length
+        for (item, body), value in zip(items, run_hash(23).of_bytes(patterns, at, at + length), strict=True):
+            for start in np.flatnonzero(found == value).tolist():
+                end, t = start + length, int(np.searchsorted(edges, start, side="right")) - 1
+                inside = end <= edges[t + 1] and data[start:end].tobytes() == body
+                left = start > edges[t] and body[0] < 128 and _ALNUM[data[start - 1]]
+                right = end < edges[t + 1] and body[-1] < 128 and _ALNUM[data[end]]
+                if inside and not left and not right:
+                    note(t, item, (0, start, end))
+
+    def _near(self, data: np.ndarray, edges: np.ndarray, places: np.ndarray, which: np.ndarray, text: np.ndarray, note: Callable) -> None:
+        """Notes the items of which texts hold a stretch, from the texts' hits."""
+        q = self.matching.q
         counts = self.starts[which + 1] - self.starts[which]
         at = np.repeat(self.starts[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        piece = self.owner[at]
-        diagonal = np.repeat(places, counts) - self.place[at]
-        width = self.budgets[piece] + 1
-        band = diagonal // width
-        key = np.concatenate([piece << 40 | (band + (1 << 20)), piece << 40 | (band - 1 + (1 << 20))])
-        keys, hits = np.unique(key, return_counts=True)
-        keep = hits >= self.least[keys >> 40]
-        keys, hits = keys[keep], hits[keep]
-        found: set[int] = set()
-        body = text.tobytes()
-        for k in keys[np.argsort(-hits, kind="stable")]:
-            p = int(k) >> 40
-            item, pattern = self.pieces[p]
-            if item in found:
+        row, place = self.owner[at], self.place[at]
+        diagonal, text = np.repeat(places, counts) - place, np.repeat(text, counts)
+        pair, hits = np.unique(text * len(self.items) + row, return_inverse=True, return_counts=True)[1:]
+        length, _, least = self._asked(self.matching.short)
+        keep = hits[pair] >= np.minimum(least, self._asked(self.matching.piece)[2])[row]
+        row, place, diagonal, text, pair = (x[keep] for x in (row, place, diagonal, text, pair))
+        # Whole stretches without edits: hits side by side on one diagonal.
+        order = np.lexsort((place, diagonal, pair))
+        run = length[row[order]] - q
+        a = np.flatnonzero(np.arange(len(order)) + run < len(order))
+        a, b = order[a], order[a + run[a]]
+        same = (pair[a] == pair[b]) & (diagonal[a] == diagonal[b]) & (place[b] - place[a] == length[row[a]] - q)
+        done = np.zeros(len(hits), dtype=bool)
+        for k in a[same]:
+            if done[pair[k]]:
                 continue
-            low = ((int(k) & ((1 << 40) - 1)) - (1 << 20)) * int(self.budgets[p] + 1)
-            match = banded_alignment(pattern, body, low, low + 2 * int(self.budgets[p] + 1) - 1, int(self.budgets[p]))
-            if match:
-                found.add(item)
-                yield item, *match
-
-
-def banded_alignment(pattern: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the pattern in text with few edits, its start between `low` and `high`, or None.
-
-    Only alignments with at most `budget` edits count, so only diagonals that near are filled.
+            start, size = int(diagonal[k] + place[k]), int(length[row[k]])
+            item, body = self.items[row[k]]
+            if data[start : start + size].tobytes() == body[place[k] : place[k] + size]:
+                done[pair[k]] = True
+                note(int(text[k]), item, (0, start, start + size))
+        for piece in (self.matching.short, self.matching.piece):
+            keep = ~done[pair]
+            if piece == self.matching.piece:  # a shorter item has had its turn
+                keep &= self.length[row] > self.matching.short
+            rest = tuple(x[keep] for x in (row, place, diagonal, text, pair))
+            if len(rest[0]):
+                self._edited(data, edges, *rest, piece, done, note)
+
+    def _edited(
+        self, data: np.ndarray, edges: np.ndarray, row: np.ndarray, place: np.ndarray, diagonal: np.ndarray, text: np.ndarray, pair: np.ndarray,
+        piece: int, done: np.ndarray, note: Callable,
+    ) -> None:
+        """Notes the stretches of `piece` bytes within their budgets: enough hits in a band, then alignment."""
+        length, budget, least = self._asked(piece)
+        band = diagonal // (budget[row] + 1)
+        row, place, text, pair = (np.concatenate([x, x]) for x in (row, place, text, pair))
+        band = np.concatenate([band, band - 1])
+        order = np.lexsort((place, band, pair))
+        row, place, text, pair, band = (x[order] for x in (row, place, text, pair, band))
+        a = np.flatnonzero(np.arange(len(row)) + least[row] - 1 < len(row))
+        b = a + least[row[a]] - 1
+        near = (pair[a] == pair[b]) & (band[a] == band[b]) & (place[b] - place[a] <= length[row[a]] - self.matching.q)
+        a, b = a[near], b[near]
+        low = np.maximum(place[b] - (length[row[a]] - self.matching.q), 0)
+        # Starts in order within a band: those that the hit before has given are left out.
+        high = np.minimum(place[a], self.length[row[a]] - length[row[a]])
+        again = (pair[a[1:]] == pair[a[:-1]]) & (band[a[1:]] == band[a[:-1]])
+        low[1:] = np.where(again, np.maximum(low[1:], high[:-1] + 1), low[1:])
+        ends = np.cumsum(np.maximum(high - low + 1, 0))
+        for begin in range(0, int(ends[-1]) if len(ends) else 0, STARTS_AT_ONCE):
+            n = np.arange(begin, min(begin + STARTS_AT_ONCE, int(ends[-1])))
+            k = np.searchsorted(ends, n, side="right")
+            start = high[k] - (ends[k] - 1 - n)
+            h = a[k]
+            for size in np.unique(length[row[h]]):
+                own = np.flatnonzero(length[row[h]] == size)
+                r, g = row[h[own]], int(budget[row[h[own[0]]]])
+                patterns = self.bytes[(self.first[r] + start[own])[:, None] + np.arange(size)]
+                t = text[h[own]]
+                edits, s, e = banded_alignments(patterns, data, band[h[own]] * (g + 1) + start[own], 2 * (g + 1), g, edges[t], edges[t + 1])
+                for i in np.flatnonzero(edits <= g):
+                    done[pair[h[own[i]]]] = True
+                    note(int(t[i]), self.items[r[i]][0], (int(edits[i]), int(s[i]), int(e[i])))
+
+
+def banded_alignments(
+    patterns: np.ndarray, data: np.ndarray, low: np.ndarray, starts: int, budget: int, begin: np.ndarray, end: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of each pattern in its text data[begin:end], started at one of `starts` places from `low` on.
+
+    Only alignments with at most `budget` edits count, so only diagonals that near are filled;
+    more edits than that stand for none.
     """
-    at = text.find(pattern, max(low, 0), max(high, 0) + len(pattern))
-    if at >= 0:
-        return at, at + len(pattern), 0
-    far = budget + 1
-    left, width = low - budget, high - low + 1 + 2 * budget
-    # cost[d]: least edits of the prefix of the pattern that ends on diagonal left + d, and its start.
-    cost = [(0, left + d) if low <= left + d <= high and 0 <= left + d <= len(text) else (far, 0) for d in range(width)]
-    for i, symbol in enumerate(pattern):
-        new = []
-        for d in range(width):
-            j = left + d + i
-            best = (far, 0)
-            if 0 <= j < len(text) and cost[d][0] < far:
-                best = (cost[d][0] + (text[j] != symbol), cost[d][1])
-            if d + 1 < width and cost[d + 1][0] + 1 < best[0]:
-                best = (cost[d + 1][0] + 1, cost[d + 1][1])
-            if d and 0 <= j < len(text) and new[d - 1][0] + 1 < best[0]:
-                best = (new[d - 1][0] + 1, new[d - 1][1])
-            new.append(best)
-        cost = new
-    edits, start, d = min((c, s, d) for d, (c, s) in enumerate(cost))
-    return (start, left + d + len(pattern), edits) if edits <= budget else None
+    d = np.arange(starts + 2 * budget)
+    # cost[d]: least edits of the prefix of the pattern that ends on diagonal d, times 256, and its start.
+    at = (low - budget)[:, None] + d
+    far = (budget + 1) << 8
+    able = (d >= budget) & (d < budget + starts) & (at >= begin[:, None]) & (at <= end[:, None])
+    cost = np.where(able, d, far)
+    for symbol in patterns.T:
+        inside = (at >= begin[:, None]) & (at < end[:, None])
+        differ = data[np.clip(at, 0, len(data) - 1)] != symbol[:, None]
+        new = np.where(inside, cost + (differ << 8), far)
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 256)
+        new = np.minimum.accumulate(new - (d << 8), axis=1) + (d << 8)
+        cost = np.minimum(np.where(at < end[:, None], new, far), far)
+        at = at + 1
+    last = cost.argmin(axis=1)
+    best = cost[np.arange(len(cost)), last]
+    return best >> 8, low - budget + (best & 255), low - budget + last + patterns.shape[1]
 
 
 def _found(column: pa.Array, index: PieceIndex) -> Iterator[list[tuple[int, int, int, int]]]:
     """For each text its (item, start, end, edits), places in code points of the text itself."""
     for _, _, data, offsets in text_slices(column):
         body, edges, origin = normalised(data, offsets)
-        places, which = index.hits(body, edges)
-        bounds = np.searchsorted(places, edges)
-        for i in range(len(offsets) - 1):
-            a, b = bounds[i], bounds[i + 1]
-            if a == b:
-                yield []
-                continue
+        for i, matches in enumerate(index.occurrences(body, edges)):
             rows = []
-            for item, start, end, edits in index.occurrences(body[edges[i] : edges[i + 1]], places[a:b] - edges[i], which[a:b]):
-                begin, stop = origin[edges[i] + start], origin[edges[i] + max(end - 1, start)] + 1
+            for item, (edits, start, end) in matches.items():
+                begin, stop = origin[start], origin[max(end - 1, start)] + 1
                 before = len(data[offsets[i] : begin].tobytes().decode(errors="replace"))
                 rows.append((item, before, before + len(data[begin:stop].tobytes().decode(errors="replace")), edits))
             yield sorted(rows)
@@ -194,8 +279,8 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, start, end, edits): each benchmark item that each document holds, with one place of it.
 
-    Every whole text is compared with every item. Texts and items that are null or under
-    `shortest` bytes match nothing. Rows that repeat a doc_id give their own matches; null ids
+    Every whole text is compared with every item. Texts and items that are null or hold no
+    letter or digit match nothing. Rows that repeat a doc_id give their own matches; null ids
     are carried. An empty table on either side gives an empty result.
     """
     kinds = (("doc_id", T.LongType()), ("item_id", T.LongType()), ("start", T.LongType()), ("end", T.LongType()), ("edits", T.LongType()))
