@@ -51,3 +51,9 @@ def test_chains_are_registered_whole(spark, sf_dir, monkeypatch, name, module, o
     monkeypatch.setattr(module, operator, noted)
     catalog.QUERIES[name](spark, sf_dir)
     assert [{k: c[k] for k in whole} for c in calls] == [whole]
+
+
+def test_rotated_spectra_have_the_reference_table(spark, sf_dir):
+    rows = catalog.QUERIES["rotated_spectra"](spark, sf_dir).where("vec_id = 2").collect()
+    assert len(rows) == 106 * 9 and len({r.period for r in rows}) == 106 and len({r.damping for r in rows}) == 9
+    assert all(0 <= r.rotd0 <= r.rotd50 <= r.rotd100 for r in rows)

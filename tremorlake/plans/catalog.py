@@ -7,6 +7,7 @@ The tables of the driver stand in for catalogues (`orders`), stations (`customer
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 DT = 0.01
+#: Periods and dampings of the reference's table of spectral values.
+PERIODS = [
+    0.0, 0.01, 0.02, 0.022, 0.025, 0.029, 0.03, 0.032, 0.035, 0.036, 0.04, 0.042, 0.044, 0.045, 0.046, 0.048, 0.05, 0.055, 0.06, 0.065,
+    0.067, 0.07, 0.075, 0.08, 0.085, 0.09, 0.095, 0.1, 0.11, 0.12, 0.13, 0.133, 0.14, 0.15, 0.16, 0.17, 0.18, 0.19, 0.2, 0.22,
+    0.24, 0.25, 0.26, 0.28, 0.29, 0.3, 0.32, 0.34, 0.35, 0.36, 0.38, 0.4, 0.42, 0.44, 0.45, 0.46, 0.48, 0.5, 0.55, 0.6,
+    0.65, 0.667, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9, 2.0, 2.2,
+    2.4, 2.5, 2.6, 2.8, 3.0, 3.2, 3.4, 3.5, 3.6, 3.8, 4.0, 4.2, 4.4, 4.6, 4.8, 5.0, 5.5, 6.0, 6.5, 7.0,
+    7.5, 8.0, 8.5, 9.0, 9.5, 10.0,
+]
+DAMPINGS = [0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -237,7 +248,8 @@ def response_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rotated_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", _record().alias("x"), F.reverse(_record()).alias("y"))
-    return spectra.rotated_spectra(rows, ["vec_id"], "x", "y", DT, [0.0, 0.1, 0.5, 2.0], 0.05, 91)
+    made = [spectra.rotated_spectra(rows.withColumn("damping", F.lit(xi)), ["vec_id", "damping"], "x", "y", DT, PERIODS, xi, 181) for xi in DAMPINGS]
+    return reduce(DataFrame.unionByName, made)
 
 
 @query("""
