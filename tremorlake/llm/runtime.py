@@ -18,20 +18,47 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where none is set, as in tests, a local session takes a temporary folder; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Remove a folder of the shared file system, now or when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(path) if at_exit else files.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a Parquet table in the shared folder, which goes when the driver ends.
+    """Cut the lineage of `df` with a Parquet table in the shared folder, which goes with `drop_cut` or when the driver ends.
 
     It takes a third of the disk of an RDD checkpoint of the same rows.
     """
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}")
-    df.write.parquet(path.toString())
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(path.toString())
+    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    remove_folder(spark, folder, at_exit=True)
+    made = spark.read.schema(df.schema).parquet(folder)
+    made.cut_folder = folder
+    return made
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Remove tables that `cut` returned and nothing reads any more."""
+    for made in tables:
+        remove_folder(made.sparkSession, made.cut_folder)
+
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The same rows under the names c0, c1, ..., which clash with no working column."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
