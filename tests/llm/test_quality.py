@@ -22,6 +22,15 @@ def test_edges(spark, frame):
     assert quality.score_quality(docs.limit(0), nothing).count() == 0
 
 
+def test_repeated_rows_and_clashing_names(spark, frame):
+    rows = [(i, f"good words {i}" if i % 2 else "# # #") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    keep = quality.fold("doc_id") >= 0
+    once = quality.train(frame(rows), labels, "quality", keep)
+    again = quality.train(frame(rows * 3 + [(1, None)]).withColumnsRenamed({"lang": "y", "source": "t", "n_chars": "found"}), labels.union(labels), "quality", keep)
+    assert quality.score_quality(frame([(1, "good words 1")]), once).first().score > 0.5 > quality.score_quality(frame([(1, "# # #")]), again).first().score
+
+
 def test_hinge_loss_separates():
     rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])] * 5
     positive = np.array([True, True, False, False] * 5)

@@ -65,7 +65,7 @@ def _text_features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Itera
         a, b, c, d = first[i], first[i + 1], at[i], at[i + 1]
         parts = [word[a:b], pair[a : max(b - 1, a)], *(g[c : max(d - n + 1, c)] for n, g in grams.items())]
         if counted[max(b - 1, a)] > counted[a]:
-            runs = [n for n in REPEATS if (counted[a + n - 1 : b] - counted[a : b - n + 1] == n - 1).any()]
+            runs = [n for n in REPEATS if b - a >= n and (counted[a + n - 1 : b] - counted[a : b - n + 1] == n - 1).any()]
             parts.append(mix(np.array(runs, dtype=np.uint64)))
         flags = np.zeros(buckets, dtype=bool)
         flags[(np.concatenate(parts) >> _U(20)) & _U(buckets - 1)] = True
@@ -210,7 +210,8 @@ def train(
 
     The sample is that of the least hashes of doc_id, so it does not depend on the order of
     the rows. Its size is bounded, so its ids are broadcast to the scan of the documents.
-    Null ids and labels are left out.
+    Null ids and labels are left out; rows that repeat a doc_id count once. Other columns of
+    `docs`, whatever their names, play no part.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(keep & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -219,9 +220,11 @@ def train(
     picked = usable.where("y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(
         usable.where("y = 0").orderBy(order, "doc_id").limit(per_class)
     )
-    chosen = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.col(f"`{text}`").alias("__t"))
+    texts = docs.select("doc_id", F.coalesce(f"`{text}`", F.lit("")).alias("t"))
+    # Rows that repeat a doc_id are one document of the sample, the one of the least text.
+    chosen = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t"))
     # Arrow columns, not rows of Python numbers: the sample takes a few dozen MB on the driver.
-    sample = _buckets_of(chosen, "__t", ["doc_id", "y"], buckets).toArrow()
+    sample = _buckets_of(chosen, "t", ["doc_id", "y"], buckets).toArrow()
     found = [f.values.to_numpy() for f in sample.column("found")]
     ids, y = sample.column("doc_id").to_pylist(), sample.column("y").to_numpy()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i].tobytes()))
