@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tremorlake.llm import decontaminate, pii, rules, urls
 
@@ -98,6 +100,17 @@ def test_partial_passages_against_brute_force():
     assert got == want and 20 < sum(not w for w in want[len(passages) - 120 : len(passages)]) < 100
 
 
+def test_leaks_of_repeated_rows(spark, frame):
+    """Rows of the benchmark with equal or null ids are items of their own, rows of documents too."""
+    a, b = (" ".join(f"{w}{i} thing" for i in range(20)) for w in ("word", "term"))
+    bench = spark.createDataFrame([(1, a), (1, b), (None, a), (None, b), (2, "tie x"), (2, "tie x")], "item_id long, text string").withColumn("start", F.lit(0))
+    docs = frame([(5, a + " " + b), (5, a), (None, "see tie x.")]).withColumnsRenamed({"lang": "edits", "source": "item_id"})
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert got == {(5, 1): 3, (5, None): 3, (None, 2): 2}
+    assert decontaminate.drop_leaking(docs, bench).count() == 0 and decontaminate.drop_leaking(docs, bench.limit(0)).count() == 3
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
 def test_part_of_an_item_and_short_items(spark, frame):
     item = " ".join(f"word{i} thing" for i in range(20))
     bench = spark.createDataFrame([(1, "Two words"), (2, "x"), (3, "日本"), (4, item)], "item_id long, text string")
@@ -105,9 +118,28 @@ def test_part_of_an_item_and_short_items(spark, frame):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(1, 1), (3, 2), (5, 3), (8, 4)}
 
 
-def test_url_joins_agree_with_trie(spark):
-    rules_ = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("block", "a.org")]
-    pages = spark.createDataFrame([(1, "http://x.Example.com/en/78?q"), (2, "https://y.com/en/"), (3, None), (4, "nothing"), (5, "//z"), (6, "http://b.a.org")], "page_id long, url string")
-    one = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, rules_).collect()}
-    two = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, rules_, max_broadcast_rules=0).collect()}
-    assert one == two and one[1] == ("example.com/en/7", "allow") and one[2][1] == "block" and one[6][1] == "block" and one[3] == (None, "allow")
+def fitting(rules, host, path):
+    """The longest rule that fits, by the words of the contract."""
+    fits = [r for r in rules if r.host and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: r.rank, default=None)
+    return (best.text, best.verdict) if best else (None, "allow")
+
+
+def test_url_rules_against_brute_force(spark):
+    r = random.Random(4)
+    label, segment = lambda: r.choice(["a", "b", "com", "x-y", ""]), lambda: r.choice(["", "en", "e", "7", "e/n"])
+    host = lambda: ".".join(label() for _ in range(r.randint(1, 3)))
+    made = [urls.Rule(r.choice(["allow", "block"]), host(), r.choice(["", "/", "en/", "/" + segment(), "/" + segment() + "/" + segment()])) for _ in range(60)]
+    made.append(urls.Rule("block", "com", "en/"))
+    rows = [(i, f"http://{host().upper()}{r.choice(['', '/'])}{'/'.join(segment() for _ in range(3))}{r.choice(['', '?q', '#f'])}") for i in range(400)]
+    rows += [(400, "http://a.com/en/x"), (401, "http://a.com/" + "en/" * 20000), (402, None), (403, "no url"), (403, "no url")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumnRenamed("page_id", "judged").selectExpr("*", "1 AS verdict", "2 AS lead", "3 AS b")
+    table = spark.createDataFrame([(x.verdict, x.host, x.path) for x in made], "verdict string, host string, path string")
+    one, two, three = (
+        sorted((p.judged, p.host, p.path, p.rule or "", p.verdict) for p in urls.filter_urls(pages, *more).collect())
+        for more in ((made,), (table,), (table, "url", "allow", 0))
+    )
+    assert one == two == three and len(one) == len(rows)
+    assert all((rule or None, verdict) == fitting(made, host, path) for _, host, path, rule, verdict in one)
+    assert urls.filter_urls(pages, made).columns == ["judged", "url", "lead", "b", "host", "path", "rule", "verdict"]
+    assert urls.filter_urls(pages.limit(0), made).count() == urls.filter_urls(pages.limit(0), table, max_broadcast_bytes=0).count() == 0

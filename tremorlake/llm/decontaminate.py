@@ -61,11 +61,13 @@ class PieceIndex:
 
     def __init__(self, items: list[tuple[int, str | None]], matching: Matching) -> None:
         self.matching = matching
+        #: Of each row of the index, in the order given, the item's id; rows with equal or null ids stay apart.
+        self.ids = [item for item, _ in items]
         self.items: list[tuple[int, bytes]] = []
         self.exact: dict[int, list[tuple[int, bytes]]] = {}
         q = matching.q
         grams, owner, place = [], [], []
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             body = normalised(raw, np.array([0, len(raw)]))[0].tobytes().rstrip(b" ")
             if len(body) < matching.shortest:
@@ -111,8 +113,17 @@ class PieceIndex:
         real = self.hashes[which] == found[places]
         return places[real], which[real]
 
-    def occurrences(self, data: np.ndarray, edges: np.ndarray) -> list[dict[int, tuple[int, int, int]]]:
-        """For each text the items that it holds, each with (edits, start, end) of one place in `data`."""
+    def occurrences(self, data: np.ndarray, edges: np.ndarray) -> list[dict[int | None, tuple[int, int, int]]]:
+        """The same by the items' ids; of items with one id the place of least edits."""
+        by_id: list[dict[int | None, tuple[int, int, int]]] = []
+        for found in self.places(data, edges):
+            by_id.append({})
+            for row, match in found.items():
+                by_id[-1][self.ids[row]] = min(by_id[-1].get(self.ids[row], match), match)
+        return by_id
+
+    def places(self, data: np.ndarray, edges: np.ndarray) -> list[dict[int, tuple[int, int, int]]]:
+        """For each text the items that it holds, by their row in the index, with (edits, start, end) of one place in `data`."""
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(len(edges) - 1)]
 
         def note(text: int, item: int, match: tuple[int, int, int]) -> None:
@@ -255,13 +266,13 @@ def _found(column: pa.Array, index: PieceIndex) -> Iterator[list[tuple[int, int,
     """For each text its (item, start, end, edits), places in code points of the text itself."""
     for _, _, data, offsets in text_slices(column):
         body, edges, origin = normalised(data, offsets)
-        for i, matches in enumerate(index.occurrences(body, edges)):
+        for i, matches in enumerate(index.places(body, edges)):
             rows = []
             for item, (edits, start, end) in matches.items():
                 begin, stop = origin[start], origin[max(end - 1, start)] + 1
                 before = len(data[offsets[i] : begin].tobytes().decode(errors="replace"))
-                rows.append((item, before, before + len(data[begin:stop].tobytes().decode(errors="replace")), edits))
-            yield sorted(rows)
+                rows.append((index.ids[item], before, before + len(data[begin:stop].tobytes().decode(errors="replace")), edits))
+            yield sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
 
 def _blocks(benchmark: DataFrame, matching: Matching, block_bytes: int) -> Iterator[PieceIndex]:
@@ -280,8 +291,8 @@ def find_leaks(
     """(doc_id, item_id, start, end, edits): each benchmark item that each document holds, with one place of it.
 
     Every whole text is compared with every item. Texts and items that are null or hold no
-    letter or digit match nothing. Rows that repeat a doc_id give their own matches; null ids
-    are carried. An empty table on either side gives an empty result.
+    letter or digit match nothing. Rows that repeat a doc_id or an item_id give their own matches;
+    null ids are carried. Further columns of both tables, whatever their names, play no part. An empty table on either side gives an empty result.
     """
     kinds = (("doc_id", T.LongType()), ("item_id", T.LongType()), ("start", T.LongType()), ("end", T.LongType()), ("edits", T.LongType()))
     schema = T.StructType([T.StructField(n, k) for n, k in kinds])
