@@ -1,5 +1,6 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -26,9 +27,53 @@ def test_counts_and_ids_of_hard_texts(frame, corpus):
 
 
 def test_chunks_compose(corpus):
-    machine = tokens.FiniteStateTokenizer(PATH, chunk=64)
-    for text, ids in zip(HARD + [t for _, t in corpus], library(HARD + [t for _, t in corpus])):
-        assert machine.count(text or "") == len(ids)
+    texts = [t or "" for t in HARD] + [t or "" for _, t in corpus]
+    r = random.Random(1)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "'", "'s", "'re", "'r", "'l", "l", "e", "1", "23", "#", ".", "é", "日", "　", "<|endoftext|>", "the", "\x85"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    want = [len(ids) for ids in library(texts)]
+    for chunk in (1, 2, 3, 7, 64):
+        machine = tokens.FiniteStateTokenizer(PATH, chunk=chunk)
+        assert [machine.count(t) for t in texts] == want
+
+
+def test_maps_compose_without_text():
+    machine = tokens.FiniteStateTokenizer(PATH, chunk=4)
+    maps = [machine.chunk_map(body, end) for body, end in machine.chunks("it's  12'll we'\n\n x")]
+    left = maps[0]
+    for m in maps[1:]:
+        left = tokens.compose(left, m)
+    assert tokens.scan(maps) == left and all(len(m) == len(tokens.PENDING) for m in maps)
+    assert left[0][1] == len(library(["it's  12'll we'\n\n x"])[0])
+
+
+def test_edges_between_tokens():
+    machine = tokens.CountingTransducer(PATH)
+    ids, merges, _ = tokens._definition(PATH)
+    r = random.Random(2)
+    some = [t for t, b in machine.bytes_of.items() if len(b) <= 6]
+    for _ in range(5000):
+        a, b = r.choice(some), r.choice(some)
+        assert machine._fits(a, b) == (tokens.plain_bpe(machine.bytes_of[a] + machine.bytes_of[b], ids, merges) == [a, b])
+
+
+def test_long_texts_lie_in_many_tasks(frame, corpus):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus)] + [(100 + i, t) for i, t in enumerate(HARD)] + [(None, "x y " * 30), (7, corpus[5][1])]
+    docs = frame(rows).withColumnsRenamed({"lang": "n", "source": "rid", "n_chars": "n_bytes"})
+    made = tokens.count_tokens(docs, PATH, 1024, chunk=50, spread=60)
+    assert made.columns == ["doc_id", "text", "n", "rid", "n_bytes", "n_tokens", "over_limit"]
+    want = Counter((d, t, "en", "s", len(ids)) for (d, t), ids in zip(rows, library([t for _, t in rows])))
+    assert Counter((r.doc_id, r.text, r.n, r.rid, r.n_tokens) for r in made.collect()) == want
+    assert tokens.count_tokens(frame([]), PATH, 1024).count() == 0
+
+
+def test_very_long_white_space(frame):
+    text = "a" + " " * 1_200_000 + "b"
+    want = library([text])[0]
+    assert np.frombuffer(tokens.TokenIds(PATH).encode(text), "<u4").tolist() == want
+    assert tokens.count_tokens(frame([(1, text)]), PATH, 1024).first().n_tokens == len(want)
+    rows = packing.pack_documents(frame([(1, text), (2, "b")]), PATH).collect()
+    assert sum(r.length for r in rows) == len(want) + 1 + len(library(["b"])[0]) + 1
 
 
 def test_counts_of_the_table(spark, sf_dir):
@@ -56,7 +101,7 @@ def check_packing(rows, documents, size):
         assert [s for _, s, _ in pieces] == list(np.cumsum([0] + [n for _, _, n in pieces])[:-1]) and sum(n for _, _, n in pieces) == len(ids[d])
         assert len(pieces) == 1 or all(n == size for _, _, n in pieces[1:])
     assert set(own) == set(ids)
-    return len(bins), packing.bin_lower_bound(np.array([r.length for r in rows]), size)
+    return len(bins), packing.bin_lower_bound(np.bincount([r.length for r in rows], minlength=size + 1), size)
 
 
 def test_packing_of_the_table(spark, sf_dir):
@@ -69,5 +114,13 @@ def test_packing_in_groups_and_edges(frame):
     rows = [(i, "word " * (i * 7 % 90)) for i in range(300)] + [(300, None)]
     pieces = packing.token_pieces(frame(rows), PATH, 64)
     used, least = check_packing(packing.pack_best_fit(pieces, 64, per_group=40).collect(), dict(rows), 64)
-    assert used <= least * 1.03 + 1
+    assert used <= least * 1.03 + 1 and packing.packing_gap(packing.pack_best_fit(pieces, 64, per_group=40), 64)[1] == least
     assert packing.pack_documents(frame([]), PATH).count() == 0
+
+
+def test_packing_with_clashing_columns_and_null_ids(frame):
+    pieces = packing.token_pieces(frame([(None, "a b"), (None, "a b"), (1, None)]), PATH, 64)
+    named = pieces.withColumnsRenamed({"piece": "bin", "start": "final", "ids_crc32": "key"}).selectExpr("*", "bin AS `group`", "bin AS row", "bin AS offset")
+    made = packing.pack_best_fit(named, 64)
+    assert made.columns == ["doc_id", "bin", "final", "length", "key", "group", "row", "sequence_id", "offset"]
+    assert sorted((r.doc_id or 0, r.length) for r in made.collect()) == [(0, 3), (0, 3), (1, 1)]

@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.runtime import cut
+from tremorlake.llm.runtime import cut, plain_names
 from tremorlake.llm.tokens import TokenIds
 
 #: Pieces of a partition that is packed at once.
 PIECES_PER_GROUP = 2048
 
-#: Rounds of exchange among partitions that are not certified.
-ROUNDS = 4
+#: Exchange among partitions that are not certified goes on while a round settles this share of its pieces.
+SETTLED = 0.2
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -73,16 +73,15 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def bin_lower_bound(lengths: np.ndarray, size: int) -> int:
-    """No packing has fewer bins: the best of three families of dual-feasible functions.
+def bin_lower_bound(counts: np.ndarray, size: int) -> int:
+    """No packing of counts[n] items of each length n has fewer bins: the best of three families of dual-feasible functions.
 
     Each maps lengths so that what fits into one bin still sums to at most one bin: the length
     itself; for each e up to half a bin, dropping items under e and rounding those over
     size - e up to a whole bin; for each k, rounding (k + 1) / k of the length down to k-ths.
     """
-    if not len(lengths):
+    if not counts.any():
         return 0
-    counts = np.bincount(lengths, minlength=size + 1)
     sizes = np.arange(size + 1)
     total = np.concatenate([[0], np.cumsum(counts * sizes)])
     number = np.concatenate([[0], np.cumsum(counts)])
@@ -96,62 +95,73 @@ def bin_lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def _packed(group: pd.DataFrame, size: int, last: bool) -> pd.DataFrame:
-    """Bins of one group; final: whether they stay, as certified, full, or in the last round."""
-    group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+def _packed(group: pd.DataFrame, size: int) -> pd.DataFrame:
+    """Bins of one group; final: whether they stay, as certified or full."""
+    group = group.sort_values(["length", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
     lengths = group["length"].to_numpy()
     bins = best_fit_decreasing(lengths, size)
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    certified = len(fill) == bin_lower_bound(lengths, size)
-    stays = (fill == size) | last
-    if certified and not last:
+    stays = fill == size
+    if len(fill) == bin_lower_bound(np.bincount(lengths, minlength=size + 1), size):
         # The optimum of the group; only its emptiest bin can still be filled by another group.
         stays = np.ones(len(fill), dtype=bool)
         stays[np.argmin(fill)] = fill.min() == size
-    group["bin"] = bins
-    group["final"] = stays[bins]
-    order = group.groupby("bin")["length"].cumsum() - group["length"]
-    group["offset"] = order.astype("int64")
-    return group
+    order = group.groupby(bins)["length"].cumsum() - group["length"]
+    return group.assign(bin=bins, final=stays[bins], offset=order.astype("int64"))
 
 
-def _packer(size: int, last: bool, turn: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _packer(size: int, turn: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Packs a group; its bins' numbers hold the group and the round, so that no two are the same."""
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        made = _packed(group.drop(columns="__group"), size, last)
-        return made.assign(bin=(int(key[0]) << 24 | turn << 20) + made["bin"])
+        made = _packed(group.drop(columns="group"), size)
+        return made.assign(bin=(int(key[0]) << 32 | turn << 24) + made["bin"])
 
     return pack
 
 
-def pack_best_fit(pieces: DataFrame, size: int, per_group: int = PIECES_PER_GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack_best_fit(pieces: DataFrame, size: int, per_group: int = PIECES_PER_GROUP) -> DataFrame:
     """Add sequence_id and offset: pieces share sequences of at most `size` tokens.
 
     Groups of about `per_group` pieces are packed by best-fit decreasing. A group whose bins
     are as few as its lower bound is certified and keeps them, but for the emptiest; in
-    others only full bins stay. What is left is dealt anew and packed again, in at most
-    `rounds` rounds. Pieces must have 1 to `size` tokens. An empty table gives an empty
-    result.
+    others only full bins stay. What is left is dealt anew and packed again, while a round
+    settles SETTLED of its pieces and there is more than one group; what is then not certified
+    stays as packed last, and `packing_gap` tells how far from the bound that is. Pieces must have
+    1 to `size` tokens in the column length; other columns may have any names, and those of the
+    new names are replaced. Repeated rows are pieces of their own. An empty table gives an
+    empty result.
     """
-    given = pieces.columns
-    left = cut(pieces.withColumn("__key", F.monotonically_increasing_id()))
-    schema = f"{left._jdf.schema().toDDL()}, bin long, final boolean, offset long"
+    source, names = plain_names(pieces)
+    length = names[pieces.columns.index("length")]
+    left = cut(source.select(F.monotonically_increasing_id().alias("key"), F.col(length).alias("length"), F.struct(*names).alias("row")))
+    schema = f"key long, length long, row {left.schema['row'].dataType.simpleString()}, bin long, final boolean, offset long"
     done: list[DataFrame] = []
-    for r in range(rounds):
-        n = left.count()
-        if not n and done:
-            break
+    n, turn = left.count(), 0
+    while True:
         groups = -(-max(n, 1) // per_group)
-        last = r == rounds - 1 or groups == 1
-        dealt = left.withColumn("__group", F.expr(f"pmod(xxhash64(__key, {r}L), {groups}L)"))
-        packed = cut(dealt.groupBy("__group").applyInPandas(_packer(size, last, r), schema))
-        done.append(packed.where("final").withColumnRenamed("bin", "sequence_id").drop("final", "__key"))
-        left = packed.where("NOT final").drop("bin", "final", "offset")
+        dealt = left.withColumn("group", F.expr(f"pmod(xxhash64(key, {turn}L), {groups}L)"))
+        packed = cut(dealt.groupBy("group").applyInPandas(_packer(size, turn), schema))
+        rest = packed.where("NOT final").count()
+        if not rest or groups == 1 or rest > (1 - SETTLED) * n:
+            done.append(packed)
+            break
+        done.append(packed.where("final"))
+        left, n, turn = packed.where("NOT final").drop("bin", "final", "offset"), rest, turn + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select(*given, "sequence_id", "offset")
+    new = ("sequence_id", "offset")
+    kept = [F.col(f"row.{n}").alias(c) for n, c in zip(names, pieces.columns, strict=True) if c not in new]
+    return out.select(*kept, F.col("bin").alias("sequence_id"), "offset")
+
+
+def packing_gap(packed: DataFrame, size: int) -> tuple[int, int]:
+    """How many sequences there are, and the bound that no packing of the same pieces can be under."""
+    counts = np.zeros(size + 1, dtype=np.int64)
+    for row in packed.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    return packed.select("sequence_id").distinct().count(), bin_lower_bound(counts, size)
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, text: str = "text") -> DataFrame:

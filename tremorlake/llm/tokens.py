@@ -2,8 +2,9 @@
 
 The tokenizer of a byte-level BPE file is compiled into two deterministic machines: one cuts
 text into pretokens, the other reads the bytes of a pretoken and carries, on each transition,
-how many tokens it emits. A chunk of text becomes a map from the states before it to the
-state and count after it; the maps of a text's chunks compose in a prefix scan.
+how many tokens it emits. At any place of a text the cutter is in one of a few states; a chunk
+is a map from the state before it to the state after it and a count, and the maps of a text's
+chunks compose, without its text, in a scan.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
+
+from tremorlake.llm.runtime import plain_names, shuffle_partitions
 
 #: Characters of a chunk.
 CHUNK = 1 << 15
 
+#: Texts of more characters are spread over tasks by chunk.
+SPREAD = 1 << 20
+
+#: Chunk maps that are composed at once.
+MAPS_AT_ONCE = 256
+
 #: Pretokens and states that a worker keeps; beyond it starts anew.
-MEMO = 300_000
-STATES = 200_000
+MEMO = 500_000
+STATES = 250_000
 
 #: The pretoken pattern of the byte-level tokenizers (fixed value).
 CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
@@ -76,6 +85,30 @@ def _definition(path: str) -> tuple[dict[bytes, int], dict[tuple[int, int], tupl
     return ids, merges, added
 
 
+@lru_cache(maxsize=2)
+def _last_merges(path: str) -> dict[int, tuple[int, int, int]]:
+    """Of each token that BPE makes of its own bytes the last merge: (rank, left, right)."""
+    ids, merges, _ = _definition(path)
+    bytes_of = {i: token for token, i in ids.items()}
+    made: dict[int, tuple[int, int, int]] = {}
+    for (left, right), (rank, token) in sorted(merges.items(), key=lambda m: m[1]):
+        if token not in made and plain_bpe(bytes_of[token], ids, merges, rank) == [left, right]:
+            made[token] = rank, left, right
+    return made
+
+
+def plain_bpe(word: bytes, ids: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], below: int = 1 << 60) -> list[int]:
+    """The tokens of a word by the merges of rank under `below`, the least rank first and from left to right."""
+    parts = [ids[word[i : i + 1]] for i in range(len(word))]
+    while len(parts) > 1:
+        best = min(((merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in merges), default=(below, 0))
+        if best[0] >= below:
+            break
+        i = best[1]
+        parts[i : i + 2] = [merges[parts[i], parts[i + 1]][1]]
+    return parts
+
+
 class CountingTransducer:
     """Deterministic transducer over the bytes of a pretoken whose transitions carry token counts.
 
@@ -90,6 +123,7 @@ class CountingTransducer:
         self.ids, self.merges, _ = _definition(path)
         self.begins = {token[:n] for token in self.ids for n in range(1, len(token))}
         self.bytes_of = {i: token for token, i in self.ids.items()}
+        self.parts = _last_merges(path)
         self.compatible: dict[tuple[int, int], bool] = {}
         self.max_states = max_states
         self._restart()
@@ -100,38 +134,54 @@ class CountingTransducer:
         self.numbers = {self.states[0]: 0}
         self.next: dict[int, tuple[int, int]] = {}
 
-    def encode(self, word: bytes) -> list[int]:
-        """Plain BPE, for the test of a pair."""
-        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        while len(parts) > 1:
-            best = min(((self.merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in self.merges), default=None)
-            if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [self.merges[parts[i], parts[i + 1]][1]]
-        return parts
-
     def _fits(self, left: int, right: int) -> bool:
+        """Whether BPE keeps the edge between two tokens, when it encodes both side by side."""
+        if left < 0:
+            return self._whole(right)
         if (known := self.compatible.get((left, right))) is None:
             if len(self.compatible) > 4 * self.max_states:
                 self.compatible.clear()
-            word = (self.bytes_of[left] if left >= 0 else b"") + self.bytes_of[right]
-            known = self.compatible[left, right] = self.encode(word) == [*[left] * (left >= 0), right]
+            known = self.compatible[left, right] = self._whole(left) and self._whole(right) and self._keeps_edge(left, right)
         return known
 
+    def _whole(self, token: int) -> bool:
+        """Whether BPE makes the token of its own bytes."""
+        return token in self.parts or len(self.bytes_of[token]) == 1
+
+    def _keeps_edge(self, left: int, right: int) -> bool:
+        """Takes the merges of both tokens back, the latest first.
+
+        What then stands at the edge was there together, until the merge that was just taken back; had the two
+        a merge of their own before that, it would have been made. Merges of one rank go from left to right.
+        """
+        limit = (1 << 60, 0)
+        while True:
+            rank = self.merges.get((left, right))
+            if rank and (rank[0], 1) < limit:
+                return False
+            a, b = self.parts.get(left), self.parts.get(right)
+            if a and (not b or a[0] > b[0]):
+                limit, left = (a[0], 1), a[2]
+            elif b:
+                limit, right = (b[0], 2), b[1]
+            else:
+                return True
+
     def _compile(self, state: int, byte: int) -> tuple[int, int]:
         suffix, last, counts = self.states[state]
-        grown = suffix + bytes([byte])
-        for back in range(min(len(last), len(grown)), 0, -1):
-            token = self.ids.get(grown[len(grown) - back :])
+        grown = suffix + bytes((byte,))
+        size, ids, begins = len(grown), self.ids, self.begins
+        for back in range(size, 0, -1):
+            token = ids.get(grown[size - back :])
             if token is not None and self._fits(last[back - 1], token):
                 emitted = counts[back - 1] + 1
                 break
         else:
             raise ValueError(f"no token ends at byte {byte}")
-        start = next(i for i in range(len(grown) + 1) if i == len(grown) or grown[i:] in self.begins)
-        kept = len(grown) - start
-        made = (grown[start:], (token, *last[:kept]), (0, *(c - emitted for c in counts[:kept])))
+        kept = size
+        while kept and grown[size - kept :] not in begins:
+            kept -= 1
+        made = (grown[size - kept :], (token, *last[:kept]), (0, *[c - emitted for c in counts[:kept]]))
         if (number := self.numbers.get(made)) is None:
             number = self.numbers[made] = len(self.states)
             self.states.append(made)
@@ -149,109 +199,190 @@ class CountingTransducer:
         return total
 
 
-class ChunkMap(NamedTuple):
-    """What a chunk does to any state before it.
+class _Counts(dict):
+    """Tokens of pretokens, counted when first asked for."""
+
+    def __init__(self, machine: CountingTransducer) -> None:
+        super().__init__()
+        self.count = machine.count
+
+    def __missing__(self, pretoken: str) -> int:
+        made = self[pretoken] = self.count(pretoken)
+        return made
+
+
+#: The states of the cutter between two characters, each by a pretoken's beginning that leads there
+#: (fixed values): the start of a text; letters, digits, other characters; an apostrophe, which may
+#: begin a contraction, and the beginnings of the longer ones; a whole contraction; a space, other white space.
+PENDING = ("", "a", "1", "#", "'", "'r", "'v", "'l", "'s", " ", "\t")
+_STATE = {p: k for k, p in enumerate(PENDING)} | {c: 8 for c in ("'t", "'m", "'d", "'re", "'ve", "'ll")}
+_LAST = regex.compile(r"(\p{White_Space})|(\p{L})|(\p{N})")
+
+#: What a chunk does to each state: the state after it, and the tokens of all pretokens that begin in it.
+ChunkMap = list[tuple[int, int]]
+
+
+def state_of(pending: str) -> int:
+    """The state after the beginning of a pretoken."""
+    if (known := _STATE.get(pending)) is not None:
+        return known
+    kind = _LAST.match(pending[-1])
+    if kind is None:
+        return 3
+    return {1: 9 if pending[-1] == " " else 10, 2: 1, 3: 2}[kind.lastindex]
+
+
+def compose(f: ChunkMap, g: ChunkMap) -> ChunkMap:
+    """First f, then g; associative."""
+    return [(g[state][0], count + g[state][1]) for state, count in f]
 
-    Where white space follows another character a pretoken ends, whatever came before: there
-    all states meet. Up to the first such place (`head`) the map still reads the state before
-    it; between the first and the last one it emits `count`; from the last one on (`tail`) it
-    is the state it leads to. Without such a place everything is head.
-    """
 
-    head: str
-    count: int
-    tail: str | None
+def scan(maps: list[ChunkMap]) -> ChunkMap:
+    """The composition of all maps, pair by pair in a tree."""
+    while len(maps) > 1:
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 class FiniteStateTokenizer:
-    """Counts the tokens of texts as the tokenizer file gives them, added tokens included."""
+    """Counts the tokens of texts as the tokenizer file gives them, added tokens included.
 
-    _meets = re.compile("(?<=[^\\t-\\r \x85\xa0  -     　])[\\t-\\r \x85\xa0  -     　]")
+    A pretoken counts in the chunk where it begins. A chunk comes with the text up to where white
+    space follows another character beyond its end, so that its last pretoken is whole.
+    """
+
+    _meets = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
+    _whole = regex.compile(r"\p{White_Space}*\P{White_Space}+")
 
     def __init__(self, path: str, chunk: int = CHUNK, memo: int = MEMO) -> None:
-        self.words = CountingTransducer(path)
+        self.known = _Counts(CountingTransducer(path))
         added = _definition(path)[2]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.chunk, self.memo = chunk, memo
-        self.known: dict[str, int] = {}
-
-    def _closed(self, text: str) -> int:
-        """Tokens of a piece of text that begins and ends where states meet."""
-        if self.added and self.added.search(text):
-            parts = self.added.split(text)
-            return len(parts) - 1 + sum(map(self._pretokens, parts))
-        return self._pretokens(text)
 
-    def _pretokens(self, text: str) -> int:
-        found = pretokens(text)
-        try:
-            return sum(map(self.known.__getitem__, found))
-        except KeyError:
-            if len(self.known) > self.memo:
-                self.known.clear()
-            count, known = self.words.count, self.known
-            for word in found:
-                if word not in known:
-                    known[word] = count(word)
-            return sum(map(known.__getitem__, found))
-
-    def chunk_map(self, text: str) -> ChunkMap:
-        first = self._meets.search(text)
-        if first is None:
-            return ChunkMap(text, 0, None)
-        last = first.start()
-        at = len(text)
-        while at > last:
-            at = max(last, at - 256)
-            places = [m.start() for m in self._meets.finditer(text, at, min(len(text), at + 257))]
-            if places:
-                last = places[-1]
-                break
-        return ChunkMap(text[: first.start()], self._closed(text[first.start() : last]), text[last:])
-
-    def compose(self, f: ChunkMap, g: ChunkMap) -> ChunkMap:
-        """First f, then g; associative."""
-        if f.tail is None:
-            return g._replace(head=f.head + g.head)
-        if g.tail is None:
-            return f._replace(tail=f.tail + g.head)
-        return ChunkMap(f.head, f.count + self._closed(f.tail + g.head) + g.count, g.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The composition of all maps, pair by pair in a tree."""
-        while len(maps) > 1:
-            pairs = [self.compose(*maps[i : i + 2]) for i in range(0, len(maps) - 1, 2)]
-            maps = pairs + maps[len(pairs) * 2 :]
-        return maps[0]
+    def chunks(self, text: str) -> Iterator[tuple[str, int]]:
+        """(text up to beyond the end, characters) of the chunks of a text; an added token is a chunk of 0 characters."""
+        for k, part in enumerate(self.added.split(text) if self.added and self.added.search(text) else [text]):
+            if k:
+                yield "", 0
+            for a in range(0, len(part), self.chunk):
+                b = min(a + self.chunk, len(part))
+                rest = self._whole.match(part, b)
+                yield part[a : rest.end() if rest else len(part)], b - a
+
+    def _read(self, pending: str, text: str, end: int) -> tuple[int, int]:
+        """The state at `end` and the tokens of the pretokens that begin before it, in a text after the beginning of a pretoken."""
+        found = pretokens(pending + text)
+        first, at = 0, -len(pending)
+        while first < len(found) and at < 0:
+            at += len(found[first])
+            first += 1
+        last, at = len(found), len(text)
+        while last and at - len(found[last - 1]) >= end:
+            last -= 1
+            at -= len(found[last])
+        state = state_of(found[last - 1][: end - at + len(found[last - 1])]) if last else 0
+        return state, sum(map(self.known.__getitem__, found[first:last] if first or last < len(found) else found))
+
+    def chunk_map(self, text: str, end: int, begins: bool = False) -> ChunkMap:
+        """The map of a chunk of `end` characters; with `begins`, of the first one, for the start only.
+
+        From where white space follows another character on, all states have met.
+        """
+        if not end:
+            return [(0, 1)] * len(PENDING)
+        if len(self.known) > self.memo:
+            self.known.clear()
+        if begins:
+            return [self._read("", text, end)]
+        meet = self._meets.search(text, 0, end)
+        if meet is None:
+            return [self._read(pending, text, end) for pending in PENDING]
+        state, count = self._read("", text[meet.start() :], end - meet.start())
+        head = text[: meet.start()]
+        return [(state, count + self._read(pending, head, len(head))[1]) for pending in PENDING]
+
+    def maps(self, text: str) -> list[ChunkMap]:
+        return [self.chunk_map(body, end, k == 0) for k, (body, end) in enumerate(self.chunks(text))]
 
     def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return self._closed(text)
-        whole = self.scan([self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)])
-        return self._closed(whole.head) + whole.count + self._closed(whole.tail or "")
+        maps = self.maps(text)
+        return scan(maps)[0][1] if maps else 0
+
+
+_MAP = "array<struct<state:int,count:long>>"
+
+
+def _composed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The maps of each group of keys composed in the order of k; `row` of the first one stays."""
+    both = "transform(a, x -> named_struct('state', get(m.map, x.state).state, 'count', x.count + get(m.map, x.state).count))"
+    start = f"cast(transform(sequence(0, {len(PENDING) - 1}), i -> named_struct('state', i, 'count', 0L)) AS {_MAP})"
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "map"))).alias("maps"), F.max_by("row", -F.col("k")).alias("row"), F.min("k").alias("k"))
+    return held.withColumn("map", F.expr(f"aggregate(maps, {start}, (a, m) -> {both})")).drop("maps")
+
 
+def _spread(texts: DataFrame, path: str, at: int, chunk: int) -> DataFrame:
+    """The rows of long texts with n, their number of tokens: chunks lie in many tasks and only their maps meet again."""
+    names = texts.columns
+    row = f"struct<{', '.join(f'{n}:{k}' for n, k in texts.dtypes)}>"
+    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), *names)
 
-def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = FiniteStateTokenizer(path, chunk)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                rid, number = one.column(0)[0].as_py(), 0
+                pieces = list(machine.chunks(one.column(1 + at)[0].as_py()))
+                for start in range(0, len(pieces), 64):
+                    part = pieces[start : start + 64]
+                    held = pa.StructArray.from_arrays(one.columns[1:], names)
+                    held = pa.concat_arrays([held, pa.nulls(len(part) - 1, held.type)]) if not start else pa.nulls(len(part), held.type)
+                    ks = pa.array(range(start, start + len(part)), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([rid] * len(part), pa.int64()), ks, pa.array([p for p, _ in part]), pa.array([e for _, e in part], pa.int32()), held],
+                        ["rid", "k", "piece", "end", "row"],
+                    )
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = FiniteStateTokenizer(path, chunk)
+        kind = pa.list_(pa.struct([("state", pa.int32()), ("count", pa.int64())]))
+        for batch in batches:
+            made = [machine.chunk_map(p, e) for p, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = [[{"state": s, "count": c} for s, c in m] for m in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, kind), batch.column(4)], ["rid", "k", "map", "row"])
+
+    pieces = numbered.mapInArrow(cut_up, f"rid long, k long, piece string, end int, row {row}")
+    dealt = pieces.repartition(shuffle_partitions(texts.sparkSession), "rid", "k")
+    maps = dealt.mapInArrow(mapped, f"rid long, k long, map {_MAP}, row {row}")
+    blocks = _composed(maps.withColumn("block", F.expr(f"k div {MAPS_AT_ONCE}")), ["rid", "block"])
+    whole = _composed(blocks, ["rid"])
+    return whole.select("row.*", F.expr("get(map, 0).count").alias("n"))
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text", chunk: int = CHUNK, spread: int = SPREAD) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit (more than `limit` tokens) to every row.
 
     Counts are those of the tokenizer file's own library without special tokens around the
     text; strings of added tokens inside it count as one token each. Columns of these names
-    are replaced. A null text is empty and has no tokens; repeated rows are counted alike;
-    an empty table gives an empty result. `path` must exist on every executor.
+    are replaced; others may have any names. A null text is empty and has no tokens; repeated
+    rows are counted alike; an empty table gives an empty result. `path` must exist on every
+    executor. The chunks of texts over `spread` characters are read in many tasks.
     """
     new = ("n_bytes", "n_tokens", "over_limit")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    source = docs.toDF(*names)
+    source, names = plain_names(docs)
     schema = T.StructType([*source.schema.fields, T.StructField("n", T.LongType())])
     at = docs.columns.index(text)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = FiniteStateTokenizer(path)
+        machine = FiniteStateTokenizer(path, chunk)
         for batch in batches:
             counts = [machine.count(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*names, "n"])
 
-    return source.mapInArrow(counted, schema).select(
+    long = F.coalesce(F.length(names[at]), F.lit(0)) > spread
+    found = source.where(~long).mapInArrow(counted, schema).unionByName(_spread(source.where(long), path, at, chunk))
+    return found.select(
         *[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in new],
         F.coalesce(F.octet_length(names[at]), F.lit(0)).cast("long").alias("n_bytes"),
         F.col("n").alias("n_tokens"),
@@ -260,7 +391,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") ->
 
 
 class TokenIds:
-    """The library's token ids of texts, found by merge ranks, which give the same ids in a quarter of the time."""
+    """The library's token ids of texts, found by merge ranks, which give the same ids in a quarter of the time.
+
+    A text that the pattern of the ranks cannot cut, as with very long white space, goes to the library itself.
+    """
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -275,7 +409,15 @@ class TokenIds:
         self.ranks = tiktoken.Encoding(
             Path(path).name, pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes_of[i]: r for r, i in enumerate(order)}, special_tokens=special
         )
+        self.path = path
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; strings of added tokens count as these."""
-        return self.ids[self.ranks.encode_to_numpy(text, allowed_special="all")].tobytes()
+        try:
+            return self.ids[self.ranks.encode_to_numpy(text, allowed_special="all")].tobytes()
+        except ValueError:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
