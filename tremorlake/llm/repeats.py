@@ -3,8 +3,9 @@
 A window is a run of consecutive words. Two equal windows choose the same anchor, the least of
 their grams, so only windows whose anchor occurs twice can recur. What is shuffled first is one
 row for each anchor and not for each window; windows themselves are counted only where an
-anchor stands in different surroundings. Confirmed passages are then compiled, shard by shard,
-into automata, through which the documents of the shard are streamed.
+anchor stands in different surroundings. Documents are dealt into shards. The confirmed passages
+of a shard, each taken once, from the first place where it stands, are compiled into an automaton;
+all documents of the shard are streamed through it, and only its hits take words away.
 """
 
 from __future__ import annotations
@@ -20,17 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlake.llm.runtime import cut, shuffle_partitions
+from tremorlake.llm.runtime import cut, drop_cut, plain_names, shuffle_partitions
 from tremorlake.llm.textkit import mix, packed, run_hash, text_slices, unpacked, words
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """Windows of `window` words; anchors are grams of `gram` words; documents meet in blocks of `block_bytes`."""
+    """Windows of `window` words; anchors are grams of `gram` words; documents meet in blocks of about `block_bytes`.
+
+    A block that equal rows swell to over `heavy_blocks` times that is split.
+    """
 
     window: int = 35
     gram: int = 10
     block_bytes: int = 1 << 20
+    heavy_blocks: int = 32
     seed: int = 29
 
 
@@ -146,40 +151,42 @@ def _doubtful(blocks: DataFrame, facts: DataFrame, spec: Repeats) -> DataFrame:
     return blocks.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(made, "block long, h1 long, h2 long, n long")
 
 
-def _located(w: Windows, recurring: np.ndarray, texts: list[list[bytes]]) -> list[np.ndarray | None]:
-    """For each text the words that confirmed passages cover, found by an automaton of the passages of the slice.
+def compiled(w: Windows, recurring: np.ndarray, texts: list[list[bytes]]) -> ahocorasick.Automaton:
+    """The automaton of the confirmed passages of a slice; `recurring` has the starts of all windows that recur.
 
-    `recurring` has the starts of all windows that recur. Maximal stretches of them are tiled
-    by windows, each a confirmed passage; together they cover the stretch.
+    Of stretches of recurring windows that are equal only the first one gives its passages: windows that
+    tile it, each confirmed, which together cover the stretch.
     """
     size = w.spec.window
     edges = np.flatnonzero(np.concatenate([[True], np.diff(recurring) != 1, [True]]))
     # Stretches end where the text does, as no window reaches into the next text.
-    passages: set[str] = set()
-    covered: list[np.ndarray | None] = [None] * len(texts)
-    held = set()
-    for a, b in zip(edges, edges[1:]):
-        low, high = int(recurring[a]), int(recurring[b - 1])
-        owner = int(np.searchsorted(w.first, low, side="right")) - 1
-        held.add(owner)
-        base = int(w.first[owner])
-        for at in {*range(low, high, size), high}:
-            passages.add(f" {b' '.join(texts[owner][at - base : at - base + size]).decode(errors='surrogateescape')} ")
+    low, high = recurring[edges[:-1]], recurring[edges[1:] - 1]
+    prints = np.stack([run_hash(w.spec.seed + k).of_runs(w.word, low, high + size) for k in (5, 6)], axis=1)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for passage in passages:
-        automaton.add_word(passage)
+    for k in np.unique(prints, axis=0, return_index=True)[1]:
+        owner = int(np.searchsorted(w.first, low[k], side="right")) - 1
+        base = int(w.first[owner])
+        for at in {*range(int(low[k]), int(high[k]), size), int(high[k])}:
+            automaton.add_word(f" {b' '.join(texts[owner][at - base : at - base + size]).decode(errors='surrogateescape')} ")
     automaton.make_automaton()
-    for owner in held:
-        body = f" {b' '.join(texts[owner]).decode(errors='surrogateescape')} "
-        ends = np.array([end for end, _ in automaton.iter(body)], dtype=np.int64)
-        # The place of the space after each word, and from it the number of the word.
-        spaces = np.flatnonzero(np.frombuffer(body.encode("utf-32-le", errors="surrogatepass"), dtype=np.uint32) == 32)[1:]
-        last = np.searchsorted(spaces, ends)
-        steps = np.zeros(len(texts[owner]) + 1, dtype=np.int64)
-        np.add.at(steps, last - size + 1, 1)
-        np.add.at(steps, last + 1, -1)
-        covered[owner] = np.cumsum(steps)[:-1] > 0
-    return covered
+    return automaton
+
+
+def streamed(automaton: ahocorasick.Automaton, own: list[bytes], size: int) -> np.ndarray | None:
+    """The words of a document that hits of the automaton cover; None for no hit."""
+    if len(own) < size:
+        return None
+    body = f" {b' '.join(own).decode(errors='surrogateescape')} "
+    ends = np.fromiter((end for end, _ in automaton.iter(body)), dtype=np.int64)
+    if not len(ends):
+        return None
+    # The place of the space after each word, and from it the number of the word.
+    spaces = np.flatnonzero(np.frombuffer(body.encode("utf-32-le", errors="surrogatepass"), dtype=np.uint32) == 32)[1:]
+    last = np.searchsorted(spaces, ends)
+    steps = np.zeros(len(own) + 1, dtype=np.int64)
+    np.add.at(steps, last - size + 1, 1)
+    np.add.at(steps, last + 1, -1)
+    return np.cumsum(steps)[:-1] > 0
 
 
 def _packed(blocks: DataFrame, text: str) -> DataFrame:
@@ -213,7 +220,8 @@ def _cleaned(blocks: DataFrame, facts: DataFrame, spec: Repeats, names: list[str
                 maybe = maybe[_among_pairs(*w.prints(maybe), one, two)]
                 recurring = np.sort(np.concatenate([sure, maybe]))
                 if len(recurring):
-                    covered = _located(w, recurring, split)
+                    automaton = compiled(w, recurring, split)
+                    covered = [streamed(automaton, own, spec.window) for own in split]
             for own, cover in zip(split, covered, strict=True):
                 n_words.append(len(own))
                 n_removed.append(0 if cover is None else int(cover.sum()))
@@ -232,25 +240,46 @@ def remove_repeats(docs: DataFrame, text: str = "text", spec: Repeats = Repeats(
     all windows are judged on the input. Words are `[^\\x20\\x09-\\x0D]+`, unchanged; kept
     words are joined by one space. Columns of the new names are replaced. A null text is
     empty; texts shorter than a window lose nothing. Repeated rows are copies of each other
-    like any others, whatever their key; an empty table gives an empty result.
+    like any others, whatever their key, which may be null; they share blocks of bounded size.
+    An empty table gives an empty result. Other columns may have any names.
     """
     new = ("n_words", "n_removed", "kept_text")
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    source, names = plain_names(docs)
     at = docs.columns.index(text)
-    source = docs.toDF(*names)
     size = source.agg(F.sum(F.octet_length(names[at]))).first()[0] or 0
     count = max(-(-size // spec.block_bytes), 4 * shuffle_partitions(docs.sparkSession))
     block: Column = F.expr(f"pmod(xxhash64({names[docs.columns.index(key)]}, {names[at]}), {count}L)").alias("block")
-    found = _anchors(source.select(block, names[at]), spec)
-    state = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi"))
-    state = cut(state.where("n > 1").select("anchor", F.when(F.col("lo") == F.col("hi"), _SAME).otherwise(_MIXED).alias("kind")))
-    anchors = found.select("anchor", "block").join(state, "anchor").select("block", "kind", F.col("anchor").alias("h1")).distinct()
-    anchors = cut(anchors.withColumn("h2", F.lit(0).cast("long")))
-    doubtful = cut(_doubtful(_packed(source.select(block, F.col(names[at]).alias("text")), "text"), anchors.where(f"kind = {_MIXED}"), spec))
+    found = cut(_anchors(source.select(block, names[at]), spec).groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")))
+    state = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("blocks")).where("n > 1")
+    state = cut(state.select("anchor", "blocks", F.when(F.col("lo") == F.col("hi"), _SAME).otherwise(_MIXED).alias("kind")))
+    # At most 4096 anchors can each lie in over a 4096th of all rows; they are broadcast, so that no task meets all rows of one.
+    heavy = F.broadcast(state.where(F.col("blocks") > found.count() // 4096).select("anchor", F.col("kind").alias("heavy")))
+    spread = found.join(heavy, "anchor", "left").withColumn("key", F.when(F.col("heavy").isNull(), F.col("anchor")).otherwise(F.col("block")))
+    joined = spread.join(state.select(F.col("anchor").alias("key"), "kind"), "key", "left").withColumn("kind", F.coalesce("heavy", "kind"))
+    anchors = cut(joined.where("kind IS NOT NULL").select("block", "kind", F.col("anchor").alias("h1"), F.lit(0).cast("long").alias("h2")))
+    drop_cut(found, state)
+
+    # Blocks that rows of equal key and text swell: at most size / (heavy_blocks * block_bytes) of them.
+    swollen = source.groupBy(block).agg((F.sum(F.octet_length(names[at])) / (spec.heavy_blocks * spec.block_bytes)).cast("int").alias("more")).where("more > 0")
+    swollen = F.broadcast(cut(swollen))
+
+    def parts(rows: DataFrame, number: Column) -> DataFrame:
+        """Rows with the number of a part of their block in the place of the block."""
+        dealt = rows.join(swollen, "block", "left").withColumn("part", number)
+        return dealt.withColumn("block", F.col("block") + count * F.col("part")).drop("more", "part")
+
+    def texts(*columns: Column | str) -> DataFrame:
+        return parts(source.select(block, *columns), F.when(F.col("more") > 0, F.pmod(F.monotonically_increasing_id(), F.col("more") + 1)).otherwise(F.lit(0)))
+
+    def facts(rows: DataFrame) -> DataFrame:
+        return parts(rows, F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0))))).select("block", "kind", "h1", "h2")
+
+    doubtful = cut(_doubtful(_packed(texts(F.col(names[at]).alias("text")), "text"), facts(anchors.where(f"kind = {_MIXED}")), spec))
     twice = doubtful.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    windows = doubtful.select("block", "h1", "h2").join(twice, ["h1", "h2"]).select("block", F.lit(_WINDOW).alias("kind"), "h1", "h2")
+    windows = doubtful.select(F.pmod("block", F.lit(count)).alias("block"), "h1", "h2").join(twice, ["h1", "h2"]).distinct()
+    windows = windows.select("block", F.lit(_WINDOW).alias("kind"), "h1", "h2")
     schema = T.StructType(
         [*source.schema.fields, *(T.StructField(n, k) for n, k in zip(new, (T.LongType(), T.LongType(), T.StringType()), strict=True))]
     )
-    out = _cleaned(_packed(source.select(block, *names), names[at]), anchors.unionByName(windows), spec, names, at, schema)
+    out = _cleaned(_packed(texts(*names), names[at]), facts(anchors.unionByName(windows)), spec, names, at, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in new], *new)
