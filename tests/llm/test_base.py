@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tremorlake.llm import decontaminate, pii, rules, urls
@@ -46,6 +47,40 @@ def test_rules_on_hard_documents(frame, corpus):
     assert rules.apply_quality_rules(frame([])).count() == 0
 
 
+def test_later_rules_are_not_evaluated_for_rejected_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = rules.QualityRule("first", "n_words >= 50", weight=1.0)
+    costly = rules.QualityRule("costly", "isnotnull(raise_error('reached'))", weight=1e9)
+    made = rules.measured(docs).selectExpr(f"{rules.verdict_sql([first, costly])} AS failed").collect()
+    assert {r.failed for r in made} == {"base", "first"}
+    with pytest.raises(Exception, match="reached"):
+        rules.measured(docs).selectExpr(f"{rules.verdict_sql([costly, first])} AS failed").collect()
+
+
+def test_order_of_rules(spark, frame, sf_dir):
+    """By rejections per cost over a sample of all rows; the same in every call and for every verdict."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    half, all_of = rules.QualityRule("half", "n_words % 2 = 0"), rules.QualityRule("all", "true", "length(__text)", 1.0)
+    sample = rules.sampled(docs, "doc_id", 50)
+    assert 20 < sample.count() < 100 and sample.count() == rules.sampled(docs.orderBy("n_chars"), "doc_id", 50).count()
+    assert [r.name for r in rules.cascade_order(sample, (all_of, half))] == ["half", "all"]
+    assert [r.name for r in rules.cascade_order(sample, (half, rules.QualityRule("also", "n_words % 2 = 0")))] == ["also", "half"]
+    assert all(r.weight > 0 for r in rules.timed(sample, rules.RULES, repeats=1))
+    assert 0 < rules.apply_quality_rules(docs).where('kept').count() < docs.count()
+    one, two = ({r.doc_id: r.failed_rule for r in rules.apply_quality_rules(d).collect()} for d in (docs, docs.orderBy("text")))
+    assert one == two
+    turned = {r.doc_id: r.kept for r in rules.apply_quality_rules(docs, rules.RULES[::-1], sample_rows=3).collect()}
+    assert turned == {i: v is None for i, v in one.items()}
+
+
+def test_rules_with_clashing_columns_and_repeated_rows(frame, corpus):
+    docs = frame(corpus).withColumnsRenamed({"lang": "__text", "source": "__words", "n_chars": "n_words"})
+    made = rules.apply_quality_rules(docs)
+    assert made.columns == ["doc_id", "text", "__text", "__words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept"]
+    same = [r for r in made.collect() if r.doc_id == 23]
+    assert len(same) == 2 and same[0] == same[1]
+
+
 def test_leaks_with_edits(spark, frame):
     item = " ".join(f"word{i} thing" for i in range(20))
     bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
