@@ -293,8 +293,7 @@ SELECT c_custkey, CASE WHEN -dep - depth > 10 THEN 'crustal' WHEN -dep - depth >
 def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = _table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr("s_suppkey", "double(s_nationkey) AS gx", "double(s_suppkey % 10) AS gy", "-s_acctbal / 100 AS dep")
     events = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey", "c_custkey % 60 AS depth", "c_custkey % 10 AS cy")
-    distance = F.pow(F.col("gx") - F.col("c_nationkey"), 2) + F.pow(F.col("gy") - F.col("cy"), 2)
-    best = relations.nearest(events, grid, "c_custkey", distance, ["dep"], "s_suppkey")
+    best = relations.nearest(events, grid, "c_custkey", ("c_nationkey", "cy"), ("gx", "gy"), ["dep"], "s_suppkey")
     gap = -F.col("dep") - F.col("depth")
     kind = F.when(gap > 10, "crustal").when(gap >= -10, "interface").when(gap.isNotNull(), "intraslab").otherwise("undetermined")
     return events.join(best, "c_custkey", "left").select("c_custkey", kind.alias("event_type"))
@@ -363,11 +362,13 @@ def station_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_suppkey, round(sum(l_quantity) FILTER (WHERE l_linenumber = 1), 4) AS p1, round(sum(l_quantity) FILTER (WHERE l_linenumber = 2), 4) AS p2, round(sum(l_quantity) FILTER (WHERE l_linenumber = 3), 4) AS p3 FROM lineitem GROUP BY 1
+SELECT l_suppkey, round(sum(l_quantity) FILTER (WHERE l_linenumber = 1), 4) AS p1, round(sum(l_quantity) FILTER (WHERE l_linenumber = 2), 4) AS p2, round(sum(l_quantity) FILTER (WHERE l_linenumber = 3), 4) AS p3,
+       round(sum(l_quantity) FILTER (WHERE l_linenumber = 4), 4) AS p4, round(sum(l_quantity) FILTER (WHERE l_linenumber = 5), 4) AS p5, round(sum(l_quantity) FILTER (WHERE l_linenumber = 6), 4) AS p6,
+       round(sum(l_quantity) FILTER (WHERE l_linenumber = 7), 4) AS p7 FROM lineitem GROUP BY 1
 """)
 def period_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", [1, 2, 3]).agg(F.round(F.sum("l_quantity"), 4))
-    return wide.toDF("l_suppkey", "p1", "p2", "p3")
+    wide = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", [*range(1, 8)]).agg(F.round(F.sum("l_quantity"), 4))
+    return wide.toDF("l_suppkey", *[f"p{k}" for k in range(1, 8)])
 
 
 @query("SELECT event_id, sum(length(props)) OVER (PARTITION BY user_id ORDER BY event_id) / 1024.0::DOUBLE AS kib FROM events")
