@@ -1,9 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tremorlake.functions import columns, geo
-from tremorlake.operators import relations, sampler, spectra
+from tremorlake.operators import records, relations, sampler, spectra
 from tremorlake.sources import readers, sinks
 from tremorlake.streaming.upserts import merge_stream
 
@@ -74,3 +76,53 @@ def test_stream_merges_latest_versions(spark, tmp_path):
     merge_stream(spark, str(tmp_path / "in"), "k int, v string, n int", str(tmp_path / "out"), ["k"], "n", str(tmp_path / "cp")).awaitTermination()
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name))
     assert {r.k for r in spark.read.parquet(str(last)).collect()} == {1, 2, 3}
+
+
+def test_stream_keeps_the_greater_version(spark, tmp_path):
+    """A late file with a lower version changes nothing, in the order of arrival or within a file."""
+    seen = set()
+    for k, rows in enumerate([[(1, "new", 10), (2, "b", 1)], [(1, "late", 5), (3, "x", 2), (3, "y", 2)], [(2, "c", 7)], [(2, "d", 6)]]):
+        spark.createDataFrame(rows, "k int, v string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if f not in seen:
+                os.utime(f, (1e9 + k, 1e9 + k))
+                seen.add(f)
+    merge_stream(spark, str(tmp_path / "in"), "k int, v string, n int", str(tmp_path / "out"), ["k"], "n", str(tmp_path / "cp")).awaitTermination()
+    held = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name))
+    assert {(r.k, r.v, r.n) for r in spark.read.parquet(str(held[-1])).collect()} == {(1, "new", 10), (2, "c", 7), (3, "y", 2)}
+    assert len(held) == 2
+
+
+def test_nearest_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    grid = [(i, float(x), float(y), float(-i)) for i, (x, y) in enumerate(r.integers(0, 40, (200, 2)) / 4)] + [(200, None, 1.0, 0.0), (201, 3.0, 3.0, 0.0), (202, 3.0, 3.0, 1.0)]
+    left = [(k, float(x), float(y)) for k, (x, y) in enumerate(r.uniform(-3, 14, (150, 2)))] + [(150, 3.0, 3.0), (151, None, 2.0), (152, 500.0, -700.0), (150, 3.0, 3.0)]
+    a = spark.createDataFrame(left, "k int, x double, y double")
+    b = spark.createDataFrame(grid, "i int, gx double, gy double, dep double")
+    got = sorted((q.k, q.i) for q in relations.nearest(a, b, "k", ("x", "y"), ("gx", "gy"), ["i"], "i").collect())
+    want = [(k, min((g for g in grid if g[1] is not None), key=lambda g: ((g[1] - x) ** 2 + (g[2] - y) ** 2, g[0]))[0]) for k, x, y in left if x is not None]
+    assert got == sorted(want)
+    assert relations.nearest(a, b.limit(0), "k", ("x", "y"), ("gx", "gy"), ["i"], "i").count() == 0
+
+
+def test_positions_and_fallbacks(spark):
+    df = spark.createDataFrame([(1, [1.0, 5.0, 2.0, 5.0]), (2, []), (3, None), (4, [7.0])], "k int, a array<double>")
+    high = lambda v: v > 4
+    got = {q.k: (q.f, q.l, q.i) for q in df.select("k", records.first_where(F.col("a"), high).alias("f"), records.last_where(F.col("a"), high).alias("l"), records.interior(F.col("a")).alias("i")).collect()}
+    assert got == {1: (1, 3, [5.0, 2.0]), 2: (None, None, []), 3: (None, None, None), 4: (0, 0, [])}
+
+
+def test_spectral_batch_of_missing_components(spark):
+    a = np.sin(np.arange(120) * 0.3)
+    rows = [(1, a.tolist(), (-a).tolist(), a.tolist()), (2, a.tolist(), None, []), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a array<double>, b array<double>, c array<double>")
+    made = spectra.spectral_batch(df, ["k"], ["a", "b", "c"], 0.01, [0.0, 0.2, 0.7], [0.05, 0.2], 181).collect()
+    assert len(made) == 18
+    sa = {(q.k, q.damping, q.period): q for q in made}
+    one = df.where("k = 1").select(spectra.response_spectrum(F.col("a"), 0.01, [0.0, 0.2, 0.7], 0.2).alias("s")).first().s
+    for t, v in zip([0.0, 0.2, 0.7], one):
+        assert sa[1, 0.2, t].component_1 == pytest.approx(v) == sa[2, 0.2, t].component_1
+        assert sa[1, 0.2, t].rotd100 == pytest.approx(v * np.sqrt(2), rel=1e-6)
+        assert sa[2, 0.2, t].rotd50 is None and sa[2, 0.2, t].component_3 is None and sa[3, 0.2, t].component_1 is None
+    rot = {(q.period): q for q in spectra.rotated_spectra(df.where("k = 1"), ["k"], "a", "b", 0.01, [0.0, 0.2, 0.7], 0.05, 181).collect()}
+    assert all(sa[1, 0.05, t].rotd50 == pytest.approx(q.rotd50) and sa[1, 0.05, t].rotd0 == pytest.approx(q.rotd0, abs=1e-9) for t, q in rot.items())

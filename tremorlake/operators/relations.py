@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremorlake.functions.lineage import checkpointed
+
 
 def new_or_changed(current: DataFrame, computed: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Rows of `current` whose key is missing in `computed` or has another version there (null differs from a value)."""
-    seen = computed.select(*keys, F.col(version).alias("__seen"), F.lit(True).alias("__there"))
-    joined = current.join(seen, keys, "left")
-    return joined.where(F.col("__there").isNull() | ~F.col(version).eqNullSafe(F.col("__seen"))).select(current.columns)
+    """Rows of `current` whose key is missing in `computed` or has only other versions there (null differs from a value).
+
+    A key that `computed` repeats gives no row of `current` twice.
+    """
+    seen = computed.groupBy(*keys).agg(F.collect_set(version).alias("__seen"), F.count_if(F.col(version).isNull()).alias("__nulls"))
+    same = F.when(F.col(version).isNull(), F.col("__nulls") > 0).otherwise(F.array_contains("__seen", F.col(version)))
+    return current.join(seen, keys, "left").where(~F.coalesce(same, F.lit(False))).select(current.columns)
 
 
 def drop_all_copies(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,26 +57,41 @@ def filter_catalogue(
     return df
 
 
-#: Rows of a grid that are broadcast at once.
-GRID_BLOCK = 200_000
-
-
-def nearest(left: DataFrame, grid: DataFrame, left_key: str, distance: Column, take: list[str], order: str, block: int = GRID_BLOCK) -> DataFrame:
-    """For each left row the grid row of least distance, the first by `order` on ties.
+def nearest(left: DataFrame, grid: DataFrame, left_key: str, place: tuple[str, str], at: tuple[str, str], take: list[str], order: str) -> DataFrame:
+    """For each left row with a place the grid row of least Euclidean distance in the plane, the first by `order` on ties.
 
-    The grid is a reference surface, and each left row meets all of it: a grid of more than
-    `block` rows in blocks of about that size, whose winners meet again.
+    Places are looked up once each. They meet the grid rows of their own cell and the eight around it, by an equi-join;
+    what lies nearer than the width of a cell is found there. Places without such a row go on with cells of twice the
+    width, so that a hole of the grid or a place far from it costs more only there. Rows without a place have none.
     """
-    blocks = -(-grid.count() // block) or 1
-    rank = F.struct("__d", order)
-    number = F.pmod(F.xxhash64(*grid.columns), F.lit(blocks))
-    found = None
-    for k in range(blocks):
-        joined = left.crossJoin(F.broadcast(grid.where(number == k) if blocks > 1 else grid)).withColumn("__d", distance).where("__d IS NOT NULL")
-        won = joined.groupBy(left_key).agg(F.min(rank).alias("__rank"), F.min_by(F.struct(*take), rank).alias("__best"))
-        found = won if found is None else found.unionByName(won)
-    best = found.groupBy(left_key).agg(F.min_by("__best", "__rank").alias("__best")) if blocks > 1 else found
-    return best.select(left_key, *[F.col(f"__best.{c}").alias(c) for c in take])
+    x, y = (F.col(c).cast("double") for c in place)
+    places = left.select(x.alias("__x"), y.alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL").distinct()
+    points = grid.select(F.col(at[0]).cast("double").alias("__gx"), F.col(at[1]).cast("double").alias("__gy"), F.struct(F.col(order).alias("__o"), *take).alias("__row"))
+    points = points.where("__gx IS NOT NULL AND __gy IS NOT NULL")
+    ends = ("min(__gx)", "max(__gx)", "min(__gy)", "max(__gy)", "count(*)")
+    x0, x1, y0, y1, n = points.selectExpr(*ends).first()
+    empty = left.join(grid.select(*take), F.lit(False), "left").select(left_key, *take).limit(0)
+    if not n:
+        return empty
+    # About one row to a cell at first; at last all rows within the cells around any place.
+    width = max((x1 - x0) / max(n, 1) ** 0.5, (y1 - y0) / max(n, 1) ** 0.5, 1e-9)
+    found, rest = None, places
+    while True:
+        cell = lambda c, w=width: F.floor(c / w)
+        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        asked = rest.withColumn("__dx", around).withColumn("__dy", around)
+        asked = asked.withColumns({"__cx": cell(F.col("__x")) + F.col("__dx"), "__cy": cell(F.col("__y")) + F.col("__dy")})
+        held = points.withColumns({"__cx": cell(F.col("__gx")), "__cy": cell(F.col("__gy"))})
+        distance = F.pow(F.col("__gx") - F.col("__x"), 2) + F.pow(F.col("__gy") - F.col("__y"), 2)
+        rank = F.struct(distance.alias("d"), "__row")
+        best = checkpointed(asked.join(held, ["__cx", "__cy"]).groupBy("__x", "__y").agg(F.min(rank).alias("__best")).where(F.col("__best.d") < width**2))
+        found = best if found is None else found.unionByName(best)
+        rest = checkpointed(rest.join(best, ["__x", "__y"], "left_anti"))
+        if rest.isEmpty():
+            break
+        width *= 2
+    joined = left.withColumns({"__x": x, "__y": y}).join(found, ["__x", "__y"])
+    return joined.select(left_key, *[F.col(f"__best.__row.{c}").alias(c) for c in take])
 
 
 def nearest_sample(values: Column, dt: float, time: Column, level: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def displacement(a: np.ndarray, dt: float, periods: np.ndarray, damping: float) -> np.ndarray:
+def displacement(a: np.ndarray, dt: float, periods: np.ndarray, damping: float | np.ndarray) -> np.ndarray:
     """Displacements (sample x period) of linear oscillators under `a`, by average acceleration steps."""
     w = 2 * np.pi / periods
     grow = 1 + damping * w * dt + w**2 * dt**2 / 4
@@ -74,6 +74,49 @@ def rotated_spectra(df: DataFrame, keys: list[str], x: str, y: str, dt: float, p
     return df.select(*keys, F.col(x).alias("x_"), F.col(y).alias("y_")).mapInPandas(made, schema)
 
 
+#: Kinds of spectra of a record.
+KINDS = ("component_1", "component_2", "component_3", "geometric_mean", "rotd0", "rotd50", "rotd100")
+
+
+def spectral_batch(df: DataFrame, keys: list[str], values: list[str], dt: float, periods: list[float], dampings: list[float], angles: int) -> DataFrame:
+    """Long rows (keys, damping, period and a column for each of KINDS) of records of three components.
+
+    A missing or empty component has null spectra, and without both of the first two the rotated kinds are
+    null too. All oscillators, one for each period and damping, move together through the samples of a record.
+    """
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema), *(f"{c} double" for c in ("damping", "period", *KINDS))])
+    t, xi = (g.ravel() for g in np.meshgrid(np.array(periods, dtype=float), np.array(dampings, dtype=float)))
+    rest = t <= 0
+    scale = np.where(rest, 1.0, (2 * np.pi / np.where(rest, 1.0, t)) ** 2)
+    turns = np.pi * np.arange(angles) / max(angles - 1, 1)
+    turn = np.stack([np.cos(turns), np.sin(turns)])
+
+    def moved(a: np.ndarray) -> np.ndarray:
+        return np.where(rest, a[:, None], displacement(a, dt, np.where(rest, 1.0, t), xi))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                arrays = [np.asarray(getattr(row, f"v{k}_"), dtype=float) if getattr(row, f"v{k}_") is not None else np.zeros(0) for k in range(3)]
+                found = dict.fromkeys(KINDS, np.full(len(t), np.nan))
+                u = [moved(a) if len(a) else None for a in arrays]
+                for k in range(3):
+                    if u[k] is not None:
+                        found[KINDS[k]] = scale * np.abs(u[k]).max(axis=0)
+                if u[0] is not None and u[1] is not None:
+                    n = min(len(arrays[0]), len(arrays[1]))
+                    both = np.stack([u[0][:n], u[1][:n]], axis=-1)
+                    sa = scale[:, None] * np.stack([np.abs(both[:, i] @ turn).max(axis=0) for i in range(len(t))])
+                    found |= {"component_1": sa[:, 0], "component_2": sa[:, (angles - 1) // 2], "rotd0": sa.min(axis=1), "rotd50": np.median(sa, axis=1), "rotd100": sa.max(axis=1)}
+                    found["geometric_mean"] = np.sqrt(found["component_1"] * found["component_2"])
+                out = pd.DataFrame({"damping": xi, "period": t} | {k: pd.Series(v).astype("Float64") for k, v in found.items()})
+                for i, k in enumerate(keys):
+                    out.insert(i, k, getattr(row, k))
+                yield out
+
+    return df.select(*keys, *[F.col(v).alias(f"v{k}_") for k, v in enumerate(values)]).mapInPandas(made, schema)
+
+
 def fourier_amplitude(values: Column, dt: float) -> Column:
     """Array of (frequency, amplitude): 2 |FFT dt| of the first half, frequencies up to half the rate, ends included."""
 

@@ -1 +1,3 @@
+"""The queries of the library, by name, with their SQL."""
 
+from tremorlake.plans import catalog, curation  # noqa: F401  (the second adds to the queries of the first)
