@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -35,6 +36,83 @@ def test_personal_data_base_matches(spark, sf_dir, frame):
     assert got == {i: base_counts(t or "") for i, t in rows}
 
 
+def base_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    found = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_personal_data_spans_against_brute_force(spark, sf_dir, frame):
+    r = random.Random(6)
+    parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (650) 555-0123", "+12", " ", " é", "🙂", ".", "-", "5500005555555559", "\n"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 30)))) for i in range(300)] + [(300, None), (301, ""), (None, "a@b.c"), (301, "")]
+    rows += [(400 + q.doc_id, q.text) for q in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = pii.find_personal_data(frame(rows)).collect()
+    want = Counter((i, hashlib.sha256(base_spans(t or "").encode()).hexdigest()) for i, t in rows)
+    assert Counter((q.doc_id, q.base_sha256) for q in got) == want
+    texts = dict(rows)
+    for q in got:
+        base, spans = base_spans(texts[q.doc_id] or ""), q.spans.split(",")
+        assert not base or set(base.split(",")) <= set(spans)
+        for f in q.found:
+            assert (texts[q.doc_id].encode()[f.first : f.last]).decode() == texts[q.doc_id][f.start : f.end]
+
+
+def test_the_vote_adds_true_spans_and_refuses_false_ones(frame):
+    r = random.Random(7)
+    octet, number = lambda: r.randint(1, 254), lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+
+    def card(sep):
+        while True:
+            d = "4" + number(15)
+            if luhn(d):
+                return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    def wrong(sep):
+        while True:
+            d = "9" + number(15)
+            if not luhn(d):
+                return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    rows, true, false = [], {}, {}
+    for i in range(0, 1200, 6):
+        plain = f"mail {name()}@{name()}.com or call +1 {number(3)} {number(3)} {number(4)}, server {octet()}.{octet()}.{octet()}.{octet()}, card {card(' ')}; version {number(3)}.{number(3)}.{number(3)}.{number(3)} order {wrong(' ')}"
+        for k, (kind, good, bad) in enumerate([
+            ("email", f"{name()} (at) {name()} [dot] com", f"{name()} (at) {name()}.{name()}"),
+            ("ip", f"{octet()}[.]{octet()}[.]{octet()}[.]{octet()}", f"{r.randint(300, 999)}[.]{octet()}[.]{octet()}[.]{r.randint(300, 999)}"),
+            ("card", card("/"), wrong("/")),
+        ]):
+            rows += [(i + 2 * k, f"{plain} {name()} {name()} {name()} {'mail' if kind == 'email' else 'host' if kind == 'ip' else 'card'} {good} {name()}"), (i + 2 * k + 1, f"{name()} {name()} {name()} {name()} section {bad} {name()}")]
+            true[i + 2 * k], false[i + 2 * k + 1] = (kind, good), bad
+    got = {q.doc_id: q for q in pii.find_personal_data(frame(rows)).collect()}
+    texts = dict(rows)
+    spans = {i: {texts[i][f.start : f.end] for f in q.found} for i, q in got.items()}
+    for kind in ("email", "ip", "card"):
+        of_kind = [(i, good) for i, (k, good) in true.items() if k == kind]
+        assert sum(good in spans[i] for i, good in of_kind) > 0.95 * len(of_kind), kind
+    assert sum(bad in spans[i] for i, bad in false.items()) < 0.05 * len(false)
+    clean = {q.doc_id: q.text for q in pii.redact(frame(rows)).collect()}
+    assert all(good not in clean[i] for i, (k, good) in true.items() if good in spans[i]) and all(clean[i] == texts[i] for i in false if not spans[i])
+
+
+def test_personal_data_edges(frame):
+    """Clashing columns stay, repeats are alike, an empty table gives none, time grows with the number of matches."""
+    docs = frame([(1, "x a@b.c +1 650 555 0123 y"), (1, "x a@b.c +1 650 555 0123 y"), (2, None)]).withColumnsRenamed({"lang": "__text", "source": "__found", "n_chars": "spans"})
+    made = pii.find_personal_data(docs)
+    assert made.columns == ["doc_id", "text", "__text", "__found", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"]
+    rows = [tuple(q) for q in made.where("doc_id = 1").collect()]
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0][2:4] == ("en", "s")
+    assert {q.text for q in pii.redact(docs).collect()} == {"x <EMAIL> <PHONE> y", None} and pii.redact(docs).columns == docs.columns
+    assert pii.find_personal_data(docs.limit(0)).count() == pii.redact(docs.limit(0)).count() == 0
+    many = frame([(1, "é" + " ".join(f"u{i}@h{i}.com" for i in range(20_000)))])
+    assert pii.find_personal_data(many).first().n_email == 20_000
+    assert pii.redact(many).first().text == "é" + " ".join(["<EMAIL>"] * 20_000)
+
+
 def test_redaction_keeps_rows_and_columns(frame):
     docs = frame([(1, "mail me: a.b@c.de now"), (2, None), (2, "")])
     made = pii.redact(docs)
