@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -64,3 +65,18 @@ def test_edges(frame):
     assert dedup.near_duplicates(frame([])).count() == 0
     kept = dedup.drop_near_duplicates(frame([(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, "")]).withColumnRenamed("lang", "component_id"))
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4} and kept.columns[2] == "component_id"
+
+
+def test_crowded_band_in_parts(frame):
+    """Many texts that are nearly alike, most of them just under the bound, split over parts of their bands."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = base[:]
+        for k in r.sample(range(60), r.choice([1, 2, 3])):
+            words[k] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(500 + i, rows[0][1]) for i in range(50)]
+    spec = dedup.NearDuplicates(shingle=4, part=4)
+    assert Counter(tuple(r) for r in dedup.near_duplicates(frame(rows), spec=spec).collect()) == brute(rows, 4, 80)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorlake.llm.components import connected_components
-from tremorlake.llm.runtime import cut
+from tremorlake.llm.runtime import cut, drop_cut, spread_join
 from tremorlake.llm.textkit import lower_ascii, mix, run_hash, text_slices, words
 
 _U = np.uint64
@@ -34,6 +34,7 @@ class NearDuplicates:
     seed: int = 17
     hub_rounds: int = 1
     crowd: int = 8
+    part: int = 256
 
 
 @lru_cache(maxsize=4)
@@ -204,18 +205,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
     linked with nothing: component_id null, kept true. Rows that repeat a doc_id are rows of
     one document for the links; each has its own n_shingles. An empty table gives none.
     """
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(cut(df))
+        return held[-1]
+
     summaries = cut(_summaries(docs, text, spec))
     usable = summaries.where("n_shingles > 0 AND doc_id IS NOT NULL")
     grouped = usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
-    classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))
+    classes = hold(grouped.withColumn("cid", F.monotonically_increasing_id()))
     bands = (
         usable.join(classes, ["doc_id", "fp1", "fp2"])
         .dropDuplicates(["cid"])
         .select("cid", "n", "copies", F.explode("bands").alias("band"))
     )
-    bands = cut(bands)
+    bands = hold(bands)
     shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    bands = cut(bands.join(shared, "band").withColumns({b: F.col("n").cast("long") for b in _BOUNDS}))
+    bands = hold(bands.join(shared, "band").withColumns({b: F.col("n").cast("long") for b in _BOUNDS}))
 
     kinds = (("u", T.LongType()), ("v", T.LongType()), ("linked", T.BooleanType()), ("shared", T.LongType()))
     schema = T.StructType([T.StructField(c, k) for c, k in kinds])
@@ -224,7 +231,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
     turn = 0
     while True:
         open_bands = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-        open_bands = cut(open_bands.where("lo <> hi").select("band", "c"))
+        open_bands = hold(open_bands.where("lo <> hi").select("band", "c"))
         rows, all_pairs = open_bands.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
         if not rows:
             break
@@ -232,40 +239,45 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         few = all_pairs <= 2 * rows
         last = few or turn >= spec.hub_rounds
         if turn == 1 and not few:
-            bands = unsettled = cut(_with_bounds(unsettled, first_hubs, judged, classes, docs, text, spec))
+            bands = unsettled = hold(_with_bounds(unsettled, first_hubs, judged, classes, docs, text, spec))
         if last:
-            # A pair counts in the first of the bands that it shares only.
-            left = unsettled.join(unsettled.groupBy("cid").agg(F.collect_list("band").alias("bands")), "cid")
-            right = left.select("band", F.col("component").alias("far"), F.col("bands").alias("bands_2"), *_other())
+            # A pair counts in the first of the bands that it shares only. A crowded band is split: each of its
+            # parts of about `part` classes meets all classes of the band, in a task of its own.
+            left = unsettled.join(unsettled.groupBy("cid").agg(F.collect_list("band").alias("bands")), "cid").drop("c").join(open_bands, "band")
+            left = left.withColumn("parts", F.ceil(F.col("c") / spec.part).cast("int"))
+            right = left.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth"), F.col("component").alias("far"), F.col("bands").alias("bands_2"), *_other())
+            left = left.withColumn("nth", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
             once = "band = array_min(array_intersect(bands, bands_2))"
-            pairs = left.join(right, "band").where(f"component < far AND {_possible(spec)} AND {once}")
+            pairs = left.join(right, ["band", "nth"]).where(f"component < far AND {_possible(spec)} AND {once}")
         else:
             order = F.struct(-F.col("copies"), "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)), "cid")
             hubs = unsettled.groupBy("band").agg(F.min_by(F.struct("cid", "component", *_BOUNDS), order).alias("hub"))
             if turn == 0:
-                hubs = cut(hubs)
+                hubs = hold(hubs)
                 first_hubs = hubs.select("band", F.col("hub.cid").alias("hub"))
             pairs = unsettled.join(hubs, "band").where("component <> hub.component").select("cid", *_BOUNDS, *_other("hub."))
             pairs = pairs.where(_possible(spec))
         pairs = pairs.select(F.least("cid", "other").alias("u"), F.greatest("cid", "other").alias("v")).distinct()
-        pairs = cut(pairs.join(judged, ["u", "v"], "left_anti"))
+        pairs = hold(pairs.join(judged, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
-            judged = cut(judged.unionByName(_confirmed(pairs, classes, docs, text, spec)))
+            judged = hold(judged.unionByName(_confirmed(pairs, classes, docs, text, spec)))
         if last:
             break
         joined = connected_components(judged.where("linked").select("u", "v"))
-        members = cut(
+        members = hold(
             bands.drop("component", "c").join(joined, bands["cid"] == joined["id"], "left")
             .withColumn("component", F.coalesce("component", "cid")).drop("id")
         )
         turn += 1
     of_class = connected_components(judged.where("linked").select("u", "v"))
     # Classes, and documents that have rows in several classes, link doc_ids.
-    in_class = usable.select("fp1", "fp2", F.col("doc_id").alias("id")).distinct().join(classes, ["fp1", "fp2"])
-    lead = classes.join(of_class, classes["cid"] == of_class["id"], "left").select(F.coalesce("component", "cid").alias("k"), "doc_id")
-    lead = lead.groupBy("k").agg(F.min("doc_id").alias("least"))
-    keyed = in_class.join(of_class.withColumnRenamed("id", "cid"), "cid", "left").withColumn("k", F.coalesce("component", "cid"))
-    found = cut(keyed.join(lead, "k").select("id", "least").distinct())
+    led = classes.join(of_class, classes["cid"] == of_class["id"], "left").withColumn("k", F.coalesce("component", "cid"))
+    led = hold(led.select("fp1", "fp2", "copies", "k", "doc_id"))
+    lead = hold(led.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    led = hold(spread_join(led.drop("doc_id"), lead, ["k"], "rows", led.count()).select("fp1", "fp2", "copies", "least"))
+    found = spread_join(usable.select("fp1", "fp2", F.col("doc_id").alias("id")), led, ["fp1", "fp2"], "copies", usable.count())
+    found = cut(found.select("id", "least").distinct())
+    drop_cut(*held)
     several = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
     if not several.isEmpty():
         found = found.select(F.col("id").alias("u"), F.col("least").alias("v"))

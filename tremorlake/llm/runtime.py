@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,15 @@ def plain_names(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """The same rows under the names c0, c1, ..., which clash with no working column."""
     names = [f"c{i}" for i in range(len(df.columns))]
     return df.toDF(*names), names
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join with `right`, which has one row for each key and in `rows` how many of the `total` rows of `left` have it.
+
+    At most 4096 keys can each have over a 4096th of all rows: these are broadcast, so that no task meets all rows of one.
+    Both sides are read twice and should be tables.
+    """
+    heavy = right.where(F.col(rows) > total // 4096)
+    spread = left.join(F.broadcast(heavy), keys)
+    rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return spread.unionByName(rest.join(right.where(F.col(rows) <= total // 4096), keys))
