@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.llm import decontaminate, dedup, packing, pii, quality
-from tremorlake.llm.runtime import shared_folder, table
+from tremorlake.llm.runtime import remove_folder, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,10 +56,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; what each returns is written in the shared folder and read by the next."""
+    """The stages over `documents`; what each returns is written in the shared folder and read by the next.
+
+    The folder of a stage goes when that of the next one is written, the last one when the driver ends.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    remove_folder(spark, folder, at_exit=True)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
     return docs
