@@ -213,6 +213,16 @@ def test_partial_passages_against_brute_force():
     assert got == want and 20 < sum(not w for w in want[len(passages) - 120 : len(passages)]) < 100
 
 
+def test_leaks_by_blocks_of_the_benchmark(spark, frame):
+    items = [(i, " ".join(f"{w}{k} thing" for k in range(12))) for i, w in enumerate(["word", "term", "name", "part", "case"])] + [(9, "tie x"), (10, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame([(100 + i, f"some text {t} more") for i, t in items] + [(1, "clean text " * 20), (2, None), (3, items[0][1] + items[3][1])])
+    one, many = ({(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 100))
+    assert one == many and {(3, 0), (3, 3)} <= one and len(one) == 8
+    kept = [sorted(r.doc_id for r in decontaminate.drop_leaking(docs, bench, block_bytes=b).collect()) for b in (1 << 20, 100)]
+    assert kept == [[1, 2, 110]] * 2
+
+
 def test_leaks_of_repeated_rows(spark, frame):
     """Rows of the benchmark with equal or null ids are items of their own, rows of documents too."""
     a, b = (" ".join(f"{w}{i} thing" for i in range(20)) for w in ("word", "term"))

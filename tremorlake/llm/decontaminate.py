@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremorlake.llm.runtime import cut, drop_cut, plain_names
 from tremorlake.llm.textkit import lower_ascii, run_hash, text_slices
 
 #: Bytes of benchmark texts that go to every executor at once.
@@ -275,14 +276,17 @@ def _found(column: pa.Array, index: PieceIndex) -> Iterator[list[tuple[int, int,
             yield sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
 
-def _blocks(benchmark: DataFrame, matching: Matching, block_bytes: int) -> Iterator[PieceIndex]:
-    """Indexes of the benchmark by blocks of about `block_bytes` of text, so that each may be broadcast."""
+def _blocks(benchmark: DataFrame, matching: Matching, block_bytes: int) -> Iterator[tuple[PieceIndex, bool]]:
+    """Indexes of the benchmark by blocks of about `block_bytes` of text, so that each may be broadcast, and whether there are several.
+
+    The driver holds one block at a time.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     for k in range(blocks):
         rows = items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}L) = {k}")).collect()
-        yield PieceIndex(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), matching)
+        yield PieceIndex(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), matching), blocks > 1
 
 
 def find_leaks(
@@ -292,13 +296,14 @@ def find_leaks(
 
     Every whole text is compared with every item. Texts and items that are null or hold no
     letter or digit match nothing. Rows that repeat a doc_id or an item_id give their own matches;
-    null ids are carried. Further columns of both tables, whatever their names, play no part. An empty table on either side gives an empty result.
+    null ids are carried. A benchmark beyond `block_bytes` takes one pass over the documents for each
+    block, whose results are written before the next index is broadcast. Further columns of both tables, whatever their names, play no part. An empty table on either side gives an empty result.
     """
     kinds = (("doc_id", T.LongType()), ("item_id", T.LongType()), ("start", T.LongType()), ("end", T.LongType()), ("edits", T.LongType()))
     schema = T.StructType([T.StructField(n, k) for n, k in kinds])
     source = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`"))
     parts = []
-    for index in _blocks(benchmark, matching, block_bytes):
+    for index, several in _blocks(benchmark, matching, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -308,7 +313,10 @@ def find_leaks(
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [n for n, _ in kinds])
 
-        parts.append(source.mapInArrow(matched, schema))
+        part = source.mapInArrow(matched, schema)
+        parts.append(cut(part) if several else part)
+        if several:
+            shared.destroy()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -318,16 +326,26 @@ def find_leaks(
 def drop_leaking(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", matching: Matching = Matching(), block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, with the same columns; nothing is shuffled."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    """The rows of `docs` that hold no benchmark item, with the same columns; nothing is shuffled.
+
+    As in `find_leaks`, a benchmark beyond `block_bytes` takes one pass over the documents for each block, with one
+    index broadcast at a time. Rows without an id or a text stay, repeated rows are judged alike.
+    """
+    out, names = plain_names(docs)
     at = docs.columns.index(text)
-    out = docs.toDF(*names)
-    for index in _blocks(benchmark, matching, block_bytes):
+    for index, several in _blocks(benchmark, matching, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not found for found in _found(batch.column(at), shared.value)], pa.bool_()))
 
-        out = out.mapInArrow(clean, out.schema)
+        made = out.mapInArrow(clean, out.schema)
+        if several:
+            before, out = out, cut(made)
+            shared.destroy()
+            if hasattr(before, "cut_folder"):
+                drop_cut(before)
+        else:
+            out = made
     return out.toDF(*docs.columns)
