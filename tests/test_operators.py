@@ -99,10 +99,10 @@ def test_nearest_against_brute_force(spark):
     left = [(k, float(x), float(y)) for k, (x, y) in enumerate(r.uniform(-3, 14, (150, 2)))] + [(150, 3.0, 3.0), (151, None, 2.0), (152, 500.0, -700.0), (150, 3.0, 3.0)]
     a = spark.createDataFrame(left, "k int, x double, y double")
     b = spark.createDataFrame(grid, "i int, gx double, gy double, dep double")
-    got = sorted((q.k, q.i) for q in relations.nearest(a, b, "k", ("x", "y"), ("gx", "gy"), ["i"], "i").collect())
+    got = sorted((q.k, q.i) for q in relations.nearest_in_plane(a, b, "k", ("x", "y"), ("gx", "gy"), ["i"], "i").collect())
     want = [(k, min((g for g in grid if g[1] is not None), key=lambda g: ((g[1] - x) ** 2 + (g[2] - y) ** 2, g[0]))[0]) for k, x, y in left if x is not None]
     assert got == sorted(want)
-    assert relations.nearest(a, b.limit(0), "k", ("x", "y"), ("gx", "gy"), ["i"], "i").count() == 0
+    assert relations.nearest_in_plane(a, b.limit(0), "k", ("x", "y"), ("gx", "gy"), ["i"], "i").count() == 0
 
 
 def test_positions_and_fallbacks(spark):

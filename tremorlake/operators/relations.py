@@ -57,7 +57,29 @@ def filter_catalogue(
     return df
 
 
-def nearest(left: DataFrame, grid: DataFrame, left_key: str, place: tuple[str, str], at: tuple[str, str], take: list[str], order: str) -> DataFrame:
+#: Rows of a grid that are broadcast at once.
+GRID_BLOCK = 200_000
+
+
+def nearest(left: DataFrame, grid: DataFrame, left_key: str, distance: Column, take: list[str], order: str, block: int = GRID_BLOCK) -> DataFrame:
+    """For each left row the grid row of least distance, the first by `order` on ties.
+
+    For any expression of distance: each left row meets all of the grid, one of more than `block` rows
+    in blocks of about that size, whose winners meet again. `nearest_in_plane` takes cells instead.
+    """
+    blocks = -(-grid.count() // block) or 1
+    rank = F.struct("__d", order)
+    number = F.pmod(F.xxhash64(*grid.columns), F.lit(blocks))
+    found = None
+    for k in range(blocks):
+        joined = left.crossJoin(F.broadcast(grid.where(number == k) if blocks > 1 else grid)).withColumn("__d", distance).where("__d IS NOT NULL")
+        won = joined.groupBy(left_key).agg(F.min(rank).alias("__rank"), F.min_by(F.struct(*take), rank).alias("__best"))
+        found = won if found is None else found.unionByName(won)
+    best = found.groupBy(left_key).agg(F.min_by("__best", "__rank").alias("__best")) if blocks > 1 else found
+    return best.select(left_key, *[F.col(f"__best.{c}").alias(c) for c in take])
+
+
+def nearest_in_plane(left: DataFrame, grid: DataFrame, left_key: str, place: tuple[str, str], at: tuple[str, str], take: list[str], order: str) -> DataFrame:
     """For each left row with a place the grid row of least Euclidean distance in the plane, the first by `order` on ties.
 
     Places are looked up once each. They meet the grid rows of their own cell and the eight around it, by an equi-join;

@@ -293,7 +293,7 @@ SELECT c_custkey, CASE WHEN -dep - depth > 10 THEN 'crustal' WHEN -dep - depth >
 def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = _table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr("s_suppkey", "double(s_nationkey) AS gx", "double(s_suppkey % 10) AS gy", "-s_acctbal / 100 AS dep")
     events = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey", "c_custkey % 60 AS depth", "c_custkey % 10 AS cy")
-    best = relations.nearest(events, grid, "c_custkey", ("c_nationkey", "cy"), ("gx", "gy"), ["dep"], "s_suppkey")
+    best = relations.nearest_in_plane(events, grid, "c_custkey", ("c_nationkey", "cy"), ("gx", "gy"), ["dep"], "s_suppkey")
     gap = -F.col("dep") - F.col("depth")
     kind = F.when(gap > 10, "crustal").when(gap >= -10, "interface").when(gap.isNotNull(), "intraslab").otherwise("undetermined")
     return events.join(best, "c_custkey", "left").select("c_custkey", kind.alias("event_type"))
