@@ -126,3 +126,26 @@ def test_spectral_batch_of_missing_components(spark):
         assert sa[2, 0.2, t].rotd50 is None and sa[2, 0.2, t].component_3 is None and sa[3, 0.2, t].component_1 is None
     rot = {(q.period): q for q in spectra.rotated_spectra(df.where("k = 1"), ["k"], "a", "b", 0.01, [0.0, 0.2, 0.7], 0.05, 181).collect()}
     assert all(sa[1, 0.05, t].rotd50 == pytest.approx(q.rotd50) and sa[1, 0.05, t].rotd0 == pytest.approx(q.rotd0, abs=1e-9) for t, q in rot.items())
+
+
+def test_files_grids_and_progress(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.geojson").write_text("x" * 1024)
+    (tmp_path / "in" / "sub" / "b.c.geojson").write_text("y" * 512)
+    (tmp_path / "in" / "empty.geojson").write_text("")
+    files = {q.name: q.mib for q in readers.read_files(spark, str(tmp_path / "in"), "*.geojson").collect()}
+    assert files == {"a": 1 / 1024, "b.c": 1 / 2048}
+    lines = ["% remark", *[f" {-30 - i} {-70 - j} 0 0 {10 + i} {i * 3 + j}" for i in range(3) for j in range(4)], ""]
+    (tmp_path / "x.fsp").write_text("\n".join(lines))
+    patches = readers.read_fault_grid(spark, str(tmp_path / "x.fsp"), 4).collect()
+    assert len(patches) == 2 * 3
+    first = next(q for q in patches if (q.row, q.column) == (0, 0))
+    assert first.slip == (0 + 1 + 4 + 3) / 4 and [tuple(c) for c in first.ring] == [(-70, -30, 10e3), (-71, -30, 10e3), (-71, -31, 11e3), (-70, -31, 11e3)]
+    spark.createDataFrame([(1.0, 2.0, float("nan")), (1.0, 3.0, -5.0), (2.0, 3.0, None)], "lon double, lat double, dep double").write.parquet(str(tmp_path / "slab"))
+    assert [tuple(q) for q in readers.read_slab(spark, str(tmp_path / "slab")).collect()] == [(1.0, 3.0, -5.0)]
+    events = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "id string, n int")
+    done = sinks.write_progress(events.where("id = 'c'"), str(tmp_path), "1")
+    progress = readers.read_csv(spark, done, "id string, n int")
+    assert {q.id for q in readers.to_fetch(events, progress, "id", "n", 2).collect()} == {"b", "d"}
+    sinks.merge_sorted_csv(events, spark.createDataFrame([("b", 9), ("0", 5)], "id string, n int"), ["id"], str(tmp_path / "csv"))
+    assert [tuple(q) for q in readers.read_csv(spark, str(tmp_path / "csv"), "id string, n int").orderBy("id").collect()] == [("0", 5), ("a", 1), ("b", 9), ("c", 3), ("d", 4)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of an event catalogue as its files name them (fixed values).
@@ -46,3 +46,46 @@ def read_accelerograms(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(F.split(F.get(F.col("l"), F.lit(0)), r"\s+"), -1).alias("start"),
         word(1, 4).try_cast("double").alias("rate"), word(4, 2).try_cast("double").alias("lat"), word(4, 4).try_cast("double").alias("lon"), values.alias("values"),
     )
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """One row for each file below a folder: file, name without its ending, mib and modified; contents are not read, files without bytes not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    name = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    return files.select(F.col("path").alias("file"), name.alias("name"), (F.col("length") / (1 << 20)).alias("mib"), F.col("modificationTime").alias("modified"))
+
+
+def read_fault_grid(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """Patches of a text grid of a rupture: row, column, slip and ring (lon, lat, depth_m) from four neighbouring nodes.
+
+    Lines that begin with `%` are remarks; the others hold lat, lon, two offsets, depth in km and slip, row by row with
+    `columns` nodes each. The slip of a patch is the mean of its nodes. A file is one group: a grid has hundreds of nodes.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("l"))
+    lines = F.filter("l", lambda v: (F.trim(v) != "") & ~F.ltrim(v).startswith("%"))
+    nodes = text.select("file", F.posexplode(lines).alias("n", "v")).withColumn("v", F.transform(F.split(F.trim("v"), r"\s+"), lambda w: w.try_cast("double")))
+    node = F.struct(F.col("v")[1].alias("lon"), F.col("v")[0].alias("lat"), (F.col("v")[4] * 1000).alias("depth_m"), F.col("v")[5].alias("slip"))
+    placed = nodes.select("file", F.floor(F.col("n") / columns).cast("int").alias("row"), (F.col("n") % columns).alias("column"), node.alias("p"))
+    along, across = Window.partitionBy("file", "row").orderBy("column"), Window.partitionBy("file", "column").orderBy("row")
+    pairs = placed.withColumn("q", F.lead("p").over(along))
+    quads = pairs.withColumns({"p2": F.lead("p").over(across), "q2": F.lead("q").over(across)}).where("q IS NOT NULL AND q2 IS NOT NULL")
+    corners = F.array("p", "q", "q2", "p2")
+    slip = F.aggregate(corners, F.lit(0.0), lambda s, c: s + c["slip"]) / 4
+    return quads.select("file", "row", "column", slip.alias("slip"), F.transform(corners, lambda c: F.struct(c["lon"].alias("lon"), c["lat"].alias("lat"), c["depth_m"].alias("depth_m"))).alias("ring"))
+
+
+def read_slab(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes (lon, lat, dep) of a Parquet grid of a slab's surface; holes (NaN or null) are left out."""
+    nodes = spark.read.parquet(path).select(*[F.col(c).cast("double").alias(c) for c in ("lon", "lat", "dep")])
+    return nodes.where("dep IS NOT NULL AND NOT isnan(dep)")
+
+
+def read_records(spark: SparkSession, path: str, prefix: str = "st") -> DataFrame:
+    """Records of events as Parquet, only those of keys that begin with `prefix`."""
+    return spark.read.parquet(path).where(F.col("key").startswith(prefix))
+
+
+def to_fetch(catalogue: DataFrame, progress: DataFrame, key: str, order: str, start: str | None = None) -> DataFrame:
+    """Rows of a catalogue that an interrupted run has still to fetch: those from `start` on, by `order`, that its progress lacks."""
+    rest = catalogue if start is None else catalogue.where(F.col(order) >= start)
+    return rest.join(progress.select(key), key, "left_anti")

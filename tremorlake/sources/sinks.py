@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremorlake.operators.relations import upsert
+
 
 def write_records(df: DataFrame, path: str, by: str = "event") -> None:
     """Records as Parquet, a folder for each event; folders of other events stay as they are."""
@@ -19,3 +21,15 @@ def nested_state(df: DataFrame, event: str, station: str, value: Column) -> Data
     """One JSON text for each event: its stations, sorted, with their values."""
     made = df.groupBy(event).agg(F.array_sort(F.collect_list(F.struct(F.col(station).alias("key"), value.alias("value")))).alias("__s"))
     return made.select(event, F.to_json(F.map_from_entries("__s")).alias("stations"))
+
+
+def merge_sorted_csv(old: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
+    """Rows of `old` and `new`, which win, sorted by their keys; `path` must not be what `old` reads."""
+    upsert(old, new, keys).orderBy(*keys).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_progress(rows: DataFrame, folder: str, stamp: str) -> str:
+    """What a run has done before it failed, in a folder of its own; returns its name."""
+    name = f"{folder}/progress-{stamp}"
+    rows.write.mode("errorifexists").option("header", True).csv(name)
+    return name
