@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
 from tremorlake.operators import rupture
@@ -50,3 +52,42 @@ def test_dispatch_of_distances(spark):
     lon, lat = np.array(square)[:4, :2].T
     assert got["model", "far"].rjb == pytest.approx(geo.vincenty_inverse(np.full(4, -36.0), np.full(4, -71.0), lat, lon).min(), abs=1e-6)
     assert rupture.distances(pairs.limit(0), models, planes).count() == 0
+
+
+def test_bounds_of_geodesics_hold(spark):
+    random = np.random.default_rng(3)
+    p, q = random.uniform(-89, 89, (2, 4000))
+    l, m = random.uniform(-180, 180, (2, 4000))
+    q[:2000], m[:2000] = p[:2000] + random.uniform(-1, 1, 2000), l[:2000] + random.uniform(-1, 1, 2000)
+    rows = spark.createDataFrame(pd.DataFrame({"p": p, "l": l, "q": q, "m": m}))
+    chord = geo.straight_distance(geo.ecef(F.col("p"), F.col("l"), F.lit(0.0)), geo.ecef(F.col("q"), F.col("m"), F.lit(0.0)))
+    far = geo.geodesic_km(F.col("p"), F.col("l"), F.col("q"), F.col("m"))
+    rows = rows.select(chord.alias("c"), far.alias("d")).where("d < 19500")
+    assert rows.count() > 3900
+    assert rows.where(~F.col("d").between(geo.least_geodesic_km(F.col("c")), geo.most_geodesic_km(F.col("c")))).count() == 0
+
+
+def test_least_distances_by_cells_equal_those_of_all_pairs(spark):
+    random = np.random.default_rng(4)
+    points = pd.DataFrame({"event": random.integers(0, 3, 600), "lat": random.uniform(-34, -32, 600), "lon": random.uniform(-72, -70, 600), "deep": random.uniform(0, 60, 600)})
+    stations = pd.DataFrame({"event": random.integers(0, 4, 200), "station": np.arange(200), "station_lat": random.uniform(-40, -28, 200), "station_lon": random.uniform(-75, -68, 200)})
+    # Copies of a point and a station on a point.
+    points = pd.concat([points, points[:50]])
+    stations.loc[0, ["event", "station_lat", "station_lon"]] = points.iloc[0][["event", "lat", "lon"]].to_numpy()
+    found = rupture._nearest(spark.createDataFrame(stations), spark.createDataFrame(points)).collect()
+    both = stations.merge(points, on="event")
+    both["flat"] = geo.vincenty_inverse(*(both[c].to_numpy() for c in ("station_lat", "station_lon", "lat", "lon")))
+    assert {(r.event, r.station) for r in found} == set(zip(both.event, both.station, strict=True))
+    flat = both.groupby(["event", "station"]).flat.min()
+    place = lambda lat, lon, deep: np.stack([np.asarray(c) for c in ecef(lat, lon, deep)])
+    both["straight"] = np.sqrt(((place(both.lat, both.lon, both.deep) - place(both.station_lat, both.station_lon, 0.0)) ** 2).sum(axis=0))
+    straight = both.groupby(["event", "station"]).straight.min()
+    for r in found:
+        assert r.flat == pytest.approx(flat[r.event, r.station], abs=1e-6) and r.straight == pytest.approx(straight[r.event, r.station], abs=1e-6)
+
+
+def ecef(lat, lon, deep):
+    a, b, p, l = geo.AXIS_KM, geo.AXIS_KM * (1 - geo.FLATTENING), np.radians(lat), np.radians(lon)
+    d = np.sqrt((a * np.cos(p)) ** 2 + (b * np.sin(p)) ** 2)
+    flat = (a * a / d - deep) * np.cos(p)
+    return flat * np.cos(l), flat * np.sin(l), (b * b / d - deep) * np.sin(p)

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
+from tremorlake.functions.lineage import checkpointed
 
 #: From this magnitude a rupture is not a point; powers of ten of length and width in km.
 EXTENDED = 7.1
 LENGTH, WIDTH = (-2.9, 0.63), (-0.86, 0.35)
 #: Fixed value: share of the range of slips below which a sub-fault does not count.
 SLIP_SHARE = 0.15
+#: Side of the cubes that points are met by, and the greatest distance from their centre; parts of the stations of an event.
+CELL_KM, PARTS = 5.0, 16
+HALF_KM = CELL_KM * math.sqrt(3) / 2
+
+Bound = Callable[[Column], Column]
 
 
 def fault_size(magnitude: Column) -> tuple[Column, Column]:
@@ -43,14 +52,54 @@ def _place(lat: str, lon: str, depth_km: Column) -> tuple[Column, Column, Column
     return geo.ecef(F.col(lat), F.col(lon), depth_km)
 
 
+def _cell(place: tuple[Column, Column, Column]) -> Column:
+    return F.struct(*(F.floor(c / CELL_KM).alias(k) for c, k in zip(place, "xyz", strict=True)))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Stations dealt over the parts of their event, so that no event is one task."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("station"), F.lit(PARTS)))
+
+
+def _in_all_parts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+
+
+def _least(pairs: DataFrame, points: DataFrame, deep: Column, low: Bound, high: Bound, distance: Column, name: str) -> DataFrame:
+    """Least distance to the points of the event, for each (event, station), by cells.
+
+    Points lie in cubes by their place at depth `deep`. A cube whose least possible distance, `low` of the chord
+    to its near side, is over the greatest possible one of the nearest cube cannot hold the nearest point; its
+    points are not met. What meets a station first is a list of the cubes of its event, not of its points.
+    """
+    nodes = points.withColumn("cell", _cell(_place("lat", "lon", deep)))
+    cubes = nodes.select("event", "cell").distinct().groupBy("event").agg(F.collect_list("cell").alias("cells"))
+    here = _place("station_lat", "station_lon", F.lit(0.0))
+
+    def to_centre(cell: Column) -> Column:
+        return geo.straight_distance(tuple((cell[k] + 0.5) * CELL_KM for k in "xyz"), here)
+
+    def near_ones(least: Column) -> Column:
+        return F.filter("cells", lambda c: low(F.greatest(to_centre(c) - HALF_KM, F.lit(0.0))) <= high(least + HALF_KM))
+
+    # Bound to a name of a lambda, the least distance is worked out once for each station and not for each cube.
+    near = F.transform(F.array(F.array_min(F.transform("cells", to_centre))), near_ones)[0]
+    # A number of partitions is given, or else adaptive execution joins rows of few bytes and much work in one task.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _parts(pairs.select("event", "station", "station_lat", "station_lon")).repartition(tasks, "event", "part").join(_in_all_parts(cubes), ["event", "part"])
+    met = met.select("event", "part", "station", "station_lat", "station_lon", F.explode(near).alias("cell")).repartition(tasks, "event", "part", "cell")
+    both = met.join(_in_all_parts(nodes), ["event", "part", "cell"]).select("event", "station", distance.alias(name))
+    return both.groupBy("event", "station").agg(F.min(name).alias(name))
+
+
 def _nearest(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Least straight and geodesic distance to the points of the event, for each (event, station)."""
     here = _place("station_lat", "station_lon", F.lit(0.0))
-    both = pairs.join(points, "event").select(
-        "event", "station", geo.straight_distance(_place("lat", "lon", F.col("deep")), here).alias("straight"),
-        geo.geodesic_km(F.col("station_lat"), F.col("station_lon"), F.col("lat"), F.col("lon")).alias("flat"),
-    )
-    return both.groupBy("event", "station").agg(F.min("straight").alias("straight"), F.min("flat").alias("flat"))
+    straight = geo.straight_distance(_place("lat", "lon", F.col("deep")), here)
+    flat = geo.geodesic_km(F.col("station_lat"), F.col("station_lon"), F.col("lat"), F.col("lon"))
+    one = _least(pairs, points, F.col("deep"), lambda c: c, lambda c: c, straight, "straight")
+    two = _least(pairs, points, F.lit(0.0), geo.least_geodesic_km, geo.most_geodesic_km, flat, "flat")
+    return one.join(two, ["event", "station"])
 
 
 def _with_models(pairs: DataFrame, models: DataFrame) -> DataFrame:
@@ -67,7 +116,7 @@ def _with_models(pairs: DataFrame, models: DataFrame) -> DataFrame:
 
     x, y, _ = _place("station_lat", "station_lon", F.lit(0.0))
     rings = used.where(F.size("ring") > 2).select("event", F.transform("ring", flat).alias("ring"))
-    above = pairs.join(rings, "event").groupBy("event", "station").agg(F.max(geo.in_polygon(x, y, F.col("ring"))).alias("inside"))
+    above = _parts(pairs).join(_in_all_parts(rings), ["event", "part"]).groupBy("event", "station").agg(F.max(geo.in_polygon(x, y, F.col("ring"))).alias("inside"))
     return _nearest(pairs, points).join(above, ["event", "station"], "left")
 
 
@@ -75,11 +124,12 @@ def _with_planes(pairs: DataFrame, planes: DataFrame) -> DataFrame:
     """Nodes of a plane scaled from the magnitude; a station inside its corners in longitude and latitude is at 0."""
     long, wide = fault_size(F.col("magnitude"))
     events = pairs.select("event", "latitude", "longitude", "depth", "magnitude").dropDuplicates(["event"])
-    nodes = sub_faults(events.join(planes, "event").withColumns({"length": long, "width": wide}))
+    # Written once: corners and both kinds of distance read the nodes, twice each.
+    nodes = checkpointed(sub_faults(events.join(planes, "event").withColumns({"length": long, "width": wide})))
     corner = (F.col("i").isin(0) | (F.col("i") == F.col("nx") - 1)) & (F.col("j").isin(0) | (F.col("j") == F.col("ny") - 1))
     turn = F.when(F.col("i") == 0, F.when(F.col("j") == 0, 0).otherwise(1)).otherwise(F.when(F.col("j") == 0, 3).otherwise(2))
     corners = nodes.where(corner).groupBy("event").agg(F.sort_array(F.collect_list(F.struct(turn.alias("k"), F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("ring"))
-    above = pairs.join(corners, "event").select("event", "station", geo.in_polygon(F.col("station_lon"), F.col("station_lat"), F.col("ring")).alias("inside"))
+    above = _parts(pairs).join(_in_all_parts(corners), ["event", "part"]).select("event", "station", geo.in_polygon(F.col("station_lon"), F.col("station_lat"), F.col("ring")).alias("inside"))
     return _nearest(pairs, nodes.select("event", "lat", "lon", "deep")).join(above, ["event", "station"], "left")
 
 
@@ -90,8 +140,9 @@ def distances(pairs: DataFrame, models: DataFrame, planes: DataFrame) -> DataFra
     and station_lon; `models` has event, slip and ring (array of lon, lat, depth_m); `planes` has
     event, strike and dip, one row each. method is "point" below EXTENDED, "model" where the event
     has a model, "plane" where it has a plane, else "finite fault model required", with rrup and rjb
-    null. A null magnitude is of the last kind unless there is a model. Events come as keys of joins,
-    so stations and nodes of one event are paired in many tasks; each pair is aggregated before its shuffle.
+    null. A null magnitude is of the last kind unless there is a model. The stations of an event are
+    dealt into PARTS; each meets the points of those cubes only that can hold the nearest one, and
+    distances are aggregated before their shuffle.
     """
     keys = ["event", "station"]
     has_model = models.select("event").distinct().withColumn("has_model", F.lit(True))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import columns, geo
 from tremorlake.operators import correction, relations, rupture, sampler, signals, spectra
+from tremorlake.plans import geodesy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -279,10 +280,10 @@ def hypocentral_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.round(geo.straight_distance(here, there), 5).alias("rhypo"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query()
+@query(geodesy.EPICENTRAL)
 def epicentral_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "-(c_custkey % 60) - 0.5D AS lat", "-(c_nationkey + 60.25D) AS lon")
-    return rows.select("c_custkey", geo.geodesic_km(F.col("lat"), F.col("lon"), F.lit(-33.4), F.lit(-70.6)).alias("repi"))
+    return rows.select("c_custkey", F.round(geo.geodesic_km(F.col("lat"), F.col("lon"), F.lit(-33.4), F.lit(-70.6)), 5).alias("repi"))
 
 
 @query("""
@@ -425,7 +426,7 @@ def corrected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("c.corrected").alias("samples"), *peak, F.round("c.fmin", 6).alias("fmin"), F.round("c.fmax", 6).alias("fmax"))
 
 
-@query()
+@query(geodesy.RUPTURE)
 def rupture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as stations, nations as events: points, models of one ring, planes, and events with neither."""
     event = F.col("n_nationkey")
