@@ -61,6 +61,19 @@ def test_personal_data_spans_against_brute_force(spark, sf_dir, frame):
             assert (texts[q.doc_id].encode()[f.first : f.last]).decode() == texts[q.doc_id][f.start : f.end]
 
 
+def test_long_texts_of_every_shape(frame):
+    """Repeats of each part of each pattern, alone and as one long span: Java's matcher must not recurse, which 40 KB show."""
+    starts = {"email": "a@b", "loose": "x [at] b", "ip": "1.2.3", "card": "4111", "phone": "+49", "none": ""}
+    units = [".b", " (dot) b", "[dot]b", "a", "b1", "@a", "a@b.c ", "1", ".1", "1.2.3.4 ", "[.]1", "-1", " 1", "(1)", "+1", "(", "4111.1111.", "4111 1111 1111 1111 ", "00", "555-", "(555) ", "\n", "é"]
+    rows = list(enumerate(s + u * (60_000 // len(u)) for s in starts.values() for u in units))
+    got = {q.doc_id: q for q in pii.find_personal_data(frame(rows)).select("doc_id", "n_email", "n_ip", "n_phone").collect()}
+    assert len(got) == len(rows)
+    assert next(got[i] for i, t in rows if t.startswith("a@b.b.b")).n_email == 1
+    assert next(got[i] for i, t in rows if t.startswith("a@b.c a@b.c")).n_email == 60_000 // 6
+    clean = pii.redact(frame([(1, "x [at] b" + ".b" * 500_000), (2, "a@b" + ".b" * 500_000)])).orderBy("doc_id").collect()
+    assert clean[1].text == "<EMAIL>" and clean[0].text in ("<EMAIL>", "x [at] b" + ".b" * 500_000)
+
+
 def test_the_vote_adds_true_spans_and_refuses_false_ones(frame):
     r = random.Random(7)
     octet, number = lambda: r.randint(1, 254), lambda n: "".join(r.choice("0123456789") for _ in range(n))

@@ -27,8 +27,9 @@ BASE = {
 
 #: Looser shapes that only the vote can accept: addresses written out or with brackets around
 #: dots, cards in groups between other signs, numbers without a plus or with two zeros for it.
+#: A group that repeats without bound is possessive: Java matches a greedy one by recursion, as deep as the text is long.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,64})+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,64})++",
     "ip": r"(?<![0-9.\]])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}){3}(?![0-9\[])",
     "card": r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9._/])",
     "phone": r"(?<![0-9+(.-])(?<![0-9]\x20)(?:00[1-9][0-9]{0,2}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){2,4}|(?:\([0-9]{3}\)\x20|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9.-])",
@@ -117,7 +118,7 @@ def _votes(kind: str, strict: bool) -> str:
     look at lists of endings, issuers and codes, at words before the match, and at how varied its digits are.
     """
     structure = {
-        "email": "x.match RLIKE '[A-Za-z]{2,}$' AND NOT x.match RLIKE '\\\\.\\\\.'",
+        "email": "right(x.match, 2) RLIKE '^[A-Za-z]{2}$' AND NOT x.match RLIKE '\\\\.\\\\.'",
         "ip": VALID["ip"].replace("split(x.match, '\\\\.')", "split(x.match, '[^0-9]+')"),
         "card": f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}",
         "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
@@ -242,7 +243,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", threshold: float = T
     exclusive); columns of these names are replaced, others may have any names. Base matches
     always stay; candidates of looser shape that overlap none are added where the classifier
     gives them `threshold` at least. A null text is empty: no spans. Repeated rows are treated
-    alike; an empty table gives an empty result.
+    alike; an empty table gives an empty result. Very long texts are searched whole, in time linear
+    in their length for every shape; of spans that start at one place the kind listed first comes first.
     """
     source, names = plain_names(docs)
     found = candidates(source, names[docs.columns.index(text)])
