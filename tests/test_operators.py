@@ -105,6 +105,17 @@ def test_nearest_against_brute_force(spark):
     assert relations.nearest_in_plane(a, b.limit(0), "k", ("x", "y"), ("gx", "gy"), ["i"], "i").count() == 0
 
 
+def test_nearest_of_odd_places_ends(spark):
+    """NaN and infinite places and grid points have no part; very far ones end in a few rounds."""
+    nan, inf = float("nan"), float("inf")
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, nan, 0.0), (3, 0.0, inf), (4, 1e12, 1e12), (5, -1e200, 3.0), (6, None, 1.0)], "k int, x double, y double")
+    b = spark.createDataFrame([(1, 1.0, 1.0), (2, nan, nan), (3, inf, 0.0), (4, 5.0, 5.0), (5, -3.0, 2.0)], "i int, gx double, gy double")
+    got = {q.k: q.i for q in relations.nearest_in_plane(a, b, "k", ("x", "y"), ("gx", "gy"), ["i"], "i").collect()}
+    assert got == {1: 1, 4: 4, 5: 1}  # at 1e200 all distances overflow alike: the first row
+    assert relations.nearest_in_plane(a.where("k IN (2, 3, 6)"), b, "k", ("x", "y"), ("gx", "gy"), ["i"], "i").count() == 0
+    assert relations.nearest_in_plane(a, b.where("i IN (2, 3)"), "k", ("x", "y"), ("gx", "gy"), ["i"], "i").count() == 0
+
+
 def test_positions_and_fallbacks(spark):
     df = spark.createDataFrame([(1, [1.0, 5.0, 2.0, 5.0]), (2, []), (3, None), (4, [7.0])], "k int, a array<double>")
     high = lambda v: v > 4

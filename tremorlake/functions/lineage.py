@@ -3,20 +3,44 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` as written to spark.checkpoint.dir, which driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share.
 
     Where none is set, as in tests, a local session takes a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, which goes with `dropped` or when the driver ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path, files = _files(spark, folder)
+    files.deleteOnExit(path)
+    made = spark.read.schema(df.schema).parquet(folder)
+    made.table_folder = folder
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that `checkpointed` returned and nothing reads any more."""
+    for made in tables:
+        path, files = _files(made.sparkSession, made.table_folder)
+        files.delete(path, True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.functions.lineage import checkpointed
+from tremorlake.functions.lineage import checkpointed, dropped
 
 
 def new_or_changed(current: DataFrame, computed: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -79,39 +81,57 @@ def nearest(left: DataFrame, grid: DataFrame, left_key: str, distance: Column, t
     return best.select(left_key, *[F.col(f"__best.{c}").alias(c) for c in take])
 
 
+def _finite(name: str) -> Column:
+    return F.coalesce(F.abs(F.col(name)) < float("inf"), F.lit(False))
+
+
 def nearest_in_plane(left: DataFrame, grid: DataFrame, left_key: str, place: tuple[str, str], at: tuple[str, str], take: list[str], order: str) -> DataFrame:
     """For each left row with a place the grid row of least Euclidean distance in the plane, the first by `order` on ties.
 
     Places are looked up once each. They meet the grid rows of their own cell and the eight around it, by an equi-join;
     what lies nearer than the width of a cell is found there. Places without such a row go on with cells of twice the
-    width, so that a hole of the grid or a place far from it costs more only there. Rows without a place have none.
+    width, so that a hole of the grid or a place far from it costs more only there; places outside of the grid begin with
+    their distance from it. Rows without a place, or with one that is NaN or infinite, have none, and such grid rows count for none.
     """
     x, y = (F.col(c).cast("double") for c in place)
-    places = left.select(x.alias("__x"), y.alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL").distinct()
+    places = left.select(x.alias("__x"), y.alias("__y")).where(_finite("__x") & _finite("__y")).distinct()
     points = grid.select(F.col(at[0]).cast("double").alias("__gx"), F.col(at[1]).cast("double").alias("__gy"), F.struct(F.col(order).alias("__o"), *take).alias("__row"))
-    points = points.where("__gx IS NOT NULL AND __gy IS NOT NULL")
-    ends = ("min(__gx)", "max(__gx)", "min(__gy)", "max(__gy)", "count(*)")
-    x0, x1, y0, y1, n = points.selectExpr(*ends).first()
-    empty = left.join(grid.select(*take), F.lit(False), "left").select(left_key, *take).limit(0)
+    points = points.where(_finite("__gx") & _finite("__gy"))
+    x0, x1, y0, y1, n = points.selectExpr("min(__gx)", "max(__gx)", "min(__gy)", "max(__gy)", "count(*)").first()
     if not n:
-        return empty
-    # About one row to a cell at first; at last all rows within the cells around any place.
-    width = max((x1 - x0) / max(n, 1) ** 0.5, (y1 - y0) / max(n, 1) ** 0.5, 1e-9)
+        return left.join(grid.select(*take), F.lit(False), "left").select(left_key, *take).limit(0)
+    # About one row to a cell at first; a width over `whole` holds all rows in the cells around any place.
+    width = max((x1 - x0) / n**0.5, (y1 - y0) / n**0.5, 1e-9)
+    beyond = lambda c, low, high: F.greatest(F.lit(low) - F.col(c), F.col(c) - F.lit(high), F.lit(0.0))
+    outside = F.greatest(beyond("__x", x0, x1), beyond("__y", y0, y1))
+    extent = max(x1 - x0, y1 - y0)
     found, rest = None, places
     while True:
-        cell = lambda c, w=width: F.floor(c / w)
+        left_over, least, most = rest.agg(F.count("*"), F.min(outside), F.max(outside)).first()
+        if not left_over:
+            break
+        # No row is nearer than the box of the grid.
+        width = max(width, least)
+        whole = width > 1.01 * (most + extent) or math.isinf(width)
+        # Cells are counted from the corner of the grid; what would not fit in a long is far from all of them.
+        cell = lambda c, low, w=width: F.floor(F.least(F.greatest((F.col(c) - low) / w, F.lit(-(2.0**60))), F.lit(2.0**60)))
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         asked = rest.withColumn("__dx", around).withColumn("__dy", around)
-        asked = asked.withColumns({"__cx": cell(F.col("__x")) + F.col("__dx"), "__cy": cell(F.col("__y")) + F.col("__dy")})
-        held = points.withColumns({"__cx": cell(F.col("__gx")), "__cy": cell(F.col("__gy"))})
+        asked = asked.withColumns({"__cx": cell("__x", x0) + F.col("__dx"), "__cy": cell("__y", y0) + F.col("__dy")})
+        held = points.withColumns({"__cx": cell("__gx", x0), "__cy": cell("__gy", y0)})
         distance = F.pow(F.col("__gx") - F.col("__x"), 2) + F.pow(F.col("__gy") - F.col("__y"), 2)
         rank = F.struct(distance.alias("d"), "__row")
-        best = checkpointed(asked.join(held, ["__cx", "__cy"]).groupBy("__x", "__y").agg(F.min(rank).alias("__best")).where(F.col("__best.d") < width**2))
+        best = asked.join(held, ["__cx", "__cy"]).groupBy("__x", "__y").agg(F.min(rank).alias("__best"))
+        best = checkpointed(best if whole else best.where(F.col("__best.d") < 0.99 * width * width))
         found = best if found is None else found.unionByName(best)
-        rest = checkpointed(rest.join(best, ["__x", "__y"], "left_anti"))
-        if rest.isEmpty():
+        if whole:
             break
+        last, rest = rest, checkpointed(rest.join(best, ["__x", "__y"], "left_anti"))
+        if last is not places:
+            dropped(last)
         width *= 2
+    if found is None:
+        return left.join(grid.select(*take), F.lit(False), "left").select(left_key, *take).limit(0)
     joined = left.withColumns({"__x": x, "__y": y}).join(found, ["__x", "__y"])
     return joined.select(left_key, *[F.col(f"__best.__row.{c}").alias(c) for c in take])
 
