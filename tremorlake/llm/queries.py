@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import decontaminate, dedup, packing, pii, quality, repeats, rules, tokens, urls, warc
+from tremorlake.llm import codes, decontaminate, dedup, packing, pii, products, quality, repeats, rules, runs, tokens, urls, warc
 from tremorlake.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,42 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def with_planted_loops(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents; in a tenth of them, by the CRC-32 of the id, words repeat from one word on.
+
+    Other texts, and all with a null id, stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    held = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    placed = held.withColumn("a", F.when(F.size("w") > 0, F.col("g") % F.size("w")))
+    looped = placed.withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    words = F.expr("transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE get(w, int(a + (i - a) % p)) END)")
+    return looped.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_periodic_runs(with_planted_loops(table(spark, sf_dir, "documents")), least=12)
+    best = F.expr("aggregate(runs, cast(null AS " + runs.RUN + "), (b, r) -> CASE WHEN b IS NULL OR r.length > b.length THEN r ELSE b END)")
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(x) for x in books.ravel()).encode()).hexdigest()
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    totals = codes.with_totals(coded.select("vec_id", "label", code.alias("code"), "error"), "label", "error", "label_error")
+    return totals.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.top_products(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_revisits": op2_warc_revisits,
@@ -91,6 +128,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_top_products": op13_top_products,
 }
 
 ORACLES: dict[str, str] = {}
@@ -188,3 +228,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words) AS kept
 FROM b
 """
+
+_WHOLE = "SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _code_round(k: int) -> str:
+    """Parts with their nearest entries of codebook k, and codebook k + 1."""
+    mean = ", ".join(f"floor(sum(part[{i}]) / count(*))" for i in range(1, 9))
+    return f"""
+a{k} AS MATERIALIZED (
+    SELECT rid, pos, any_value(part) AS part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
+    FROM (SELECT p.*, entry, list_sum(list_transform(range(1, 9), lambda i: (part[i] - c[i]) * (part[i] - c[i]))) AS d FROM p JOIN b{k} USING (pos)) GROUP BY rid, pos
+),
+b{k + 1} AS MATERIALIZED (
+    SELECT pos, entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT pos, entry, [{mean}] AS c FROM a{k} GROUP BY pos, entry) m USING (pos, entry)
+),"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH v AS MATERIALIZED ({_WHOLE.format(scale=4096)}),
+p AS MATERIALIZED (SELECT rid, vec_id, pos, e[8 * pos + 1 : 8 * pos + 8] AS part FROM v, range(0, 8) r(pos)),
+b0 AS MATERIALIZED (SELECT pos, k - 1 AS entry, part AS c FROM (SELECT p.*, row_number() OVER (PARTITION BY pos ORDER BY p.vec_id, e) AS k FROM p JOIN v USING (rid)) WHERE k <= 16),
+{"".join(map(_code_round, range(7)))}
+f AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY rid),
+h AS (SELECT sha256(array_to_string(flatten(list(list_transform(c, lambda x: x::BIGINT) ORDER BY pos, entry)), ',')) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN v USING (rid), h
+"""
+
+ORACLES["op13_top_products"] = f"""
+WITH v AS MATERIALIZED ({_WHOLE.format(scale=1024)}),
+s AS (SELECT q.rid AS q, q.vec_id AS query_id, c.rid, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.rid <> c.rid)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
