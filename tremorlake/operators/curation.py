@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorlake.operators import scans
 
 # --- review states: status is null (pending), "true", "false" or "postponed"
 
@@ -93,29 +94,59 @@ def size_text(bytes_: Column) -> Column:
 # --- joins by order and by range
 
 
-def as_of(samples: DataFrame, boundaries: DataFrame, key: str, x: str, values: list[str]) -> DataFrame:
+def as_of(samples: DataFrame, boundaries: DataFrame, key: str, x: str, values: list[str], block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """Samples with the values of the last boundary of their key at or before x; null before the first one.
 
-    One union and one window; of boundaries at one x the one of the greatest values counts.
+    One union in blocks of equal size, from each of which the last boundary is carried on: a key of any number of rows
+    lies in many tasks. Of boundaries at one x the one of the greatest values counts; null keys are a key of their own.
     """
     held = F.struct(*values)
     tagged = samples.withColumns({"__b": F.lit(None).cast(boundaries.select(held.alias("b")).schema["b"].dataType), "__late": F.lit(1)})
     knots = boundaries.select(key, x, held.alias("__b"), F.lit(0).alias("__late"))
-    both = tagged.unionByName(knots, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(x, "__late", "__b").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__found", F.last("__b", ignorenulls=True).over(w)).where("__late = 1")
+    blocks = scans.in_blocks(tagged.unionByName(knots, allowMissingColumns=True), [key], [x, "__late", "__b"], block_rows)
+    found = scans.last_known(blocks, F.col("__b"), "__found").where("__late = 1")
     return found.select(*samples.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
+#: Cells are counted up to this far from 0: what lies beyond meets in the last one.
+FAR_CELL = 1 << 60
+
+
+def _cell(c: Column, width: float) -> Column:
+    return F.floor(F.least(F.greatest(c / width, F.lit(-float(FAR_CELL))), F.lit(float(FAR_CELL))))
+
+
+def dyadic_cells(low: Column, high: Column) -> Column:
+    """Array of (level, cell) of the fewest cells of 2^level units that make up the units from `low` to `high`, both included.
+
+    At most two of each level: the left one where the first whole cell is odd, the right one where the last one is even.
+    """
+
+    def of_level(level: Column) -> Column:
+        shifted = lambda c: F.call_function("shiftright", c, level)
+        first, end = -shifted(-low), shifted(high + 1)
+        left, right = F.when((first < end) & (F.pmod(first, F.lit(2)) == 1), first), F.when((first < end) & (F.pmod(end, F.lit(2)) == 1), end - 1)
+        return F.transform(F.array_compact(F.array(left, right)), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(61)), of_level))
+
+
 def within_segments(samples: DataFrame, segments: DataFrame, key: str, x: str, low: str, high: str, width: float) -> DataFrame:
     """Each sample with each segment of its key whose [low, high], both ends included, holds its x.
 
-    An equi-join on cells of `width`: a segment has a row for each cell that it touches, a sample one.
+    An equi-join on key, level and cell: a segment, however long, is at most two cells of each level, thus two for each
+    doubling of its length over `width`; a sample is asked for in one cell of each level that segments have. A segment with a
+    null or NaN end, or that ends before it begins, holds nothing; one without bounds ends at infinity. A key with very many
+    samples is spread by cells. `width` only sets the unit, not the result.
     """
-    cell = lambda c: F.floor(c / width)
-    cells = segments.withColumn("__cell", F.explode(F.sequence(cell(F.col(low)), cell(F.greatest(low, high)))))
-    joined = samples.withColumn("__cell", cell(F.col(x))).join(cells, [key, "__cell"])
-    return joined.where(F.col(x).between(F.col(low), F.col(high))).drop("__cell")
+    sound = segments.where(F.col(low) <= F.col(high)).where(~F.isnan(F.col(high).cast("double")))
+    cut = sound.withColumn("__c", F.explode(dyadic_cells(_cell(F.col(low), width), _cell(F.col(high), width))))
+    cells = cut.withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c")
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect())
+    asked = samples.where(F.col(x).isNotNull()).withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    asked = asked.withColumn("__cell", F.call_function("shiftright", _cell(F.col(x), width), F.col("__level")))
+    joined = asked.join(cells, [key, "__level", "__cell"])
+    return joined.where(F.col(x).between(F.col(low), F.col(high))).drop("__level", "__cell")
 
 
 def match_channels(files: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
