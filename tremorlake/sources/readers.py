@@ -24,6 +24,45 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return events.select("event", F.explode("stations").alias("station", "s")).select("event", "station", "s.*").withColumn("status", state_name(F.col("status")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_nested(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(key, value) of a JSON map of the given type of values; a file that is missing is an empty map."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"key string, value {schema}")
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", f"map<string,{schema}>")).alias("key", "value"))
+
+
+def read_picks(spark: SparkSession, path: str) -> DataFrame:
+    """`read_state`, where a missing file is a state without picks."""
+    if exists(spark, path):
+        return read_state(spark, path)
+    return spark.createDataFrame([], "event string, station string, pos int, status string, method string, corrected boolean, updated string")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(event, station, registered) of the stations of each event; registered is null where it is not yet known."""
+    rows = read_nested(spark, path, "map<string,boolean>")
+    return rows.select(F.col("key").alias("event"), F.explode("value").alias("station", "registered"))
+
+
+def read_planes(spark: SparkSession, path: str) -> DataFrame:
+    """(event, strike, dip, rake) of the fault planes; a list that is too short has nulls."""
+    rows = read_nested(spark, path, "array<double>")
+    return rows.select(F.col("key").alias("event"), *[F.get("value", F.lit(k)).alias(n) for k, n in enumerate(("strike", "dip", "rake"))])
+
+
+def read_station_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(station, name, value) of the notes on stations, all values as text; numbers and lists stay as JSON has them."""
+    rows = read_nested(spark, path, "map<string,string>")
+    return rows.select(F.col("key").alias("station"), F.explode("value").alias("name", "value"))
+
+
 def state_name(status):
     """PENDING, VALID, DISCARDED or POSTPONED from null, true, false and text."""
     return F.when(status.isNull(), "PENDING").when(status == "true", "VALID").when(status == "false", "DISCARDED").otherwise("POSTPONED")
