@@ -36,10 +36,16 @@ def event_id(date: Column, magnitude: Column, latitude: Column, longitude: Colum
 
 
 def parsed_event_id(c: Column) -> dict[str, Column]:
-    """The parts of an event id; parts that it lacks are null."""
+    """The parts of an event id, of which the type may follow; parts that it lacks are null."""
     piece = lambda i, unit: F.regexp_replace(F.split_part(c, F.lit("_"), F.lit(i)), f"{unit}$", "").try_cast("double")
     day = F.split_part(c, F.lit("_"), F.lit(1))
-    return {"date": F.to_date(day, "yyyyMMdd"), "magnitude": piece(2, "M"), "latitude": -piece(3, "S"), "longitude": -piece(4, "W"), "depth": piece(5, "KM")}
+    return {"date": F.to_date(day, "yyyyMMdd"), "magnitude": piece(2, "M"), "latitude": -piece(3, "S"), "longitude": -piece(4, "W"), "depth": piece(5, "KM"), "type": capitalised(F.nullif(F.split_part(c, F.lit("_"), F.lit(6)), F.lit("")))}
+
+
+def rupture_pair(rrup: Column, rjb: Column, sentinel: float = -1.0) -> tuple[Column, Column]:
+    """Distances to a rupture as numbers from text; a remark in place of the first makes both unknown, null stays null."""
+    remark = rrup.isNotNull() & rrup.try_cast("double").isNull()
+    return tuple(F.when(remark, sentinel).when(c.isNotNull(), number_or_sentinel(c, sentinel)) for c in (rrup, rjb))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -93,18 +93,21 @@ def vincenty_inverse(p1: np.ndarray, l1: np.ndarray, p2: np.ndarray, l2: np.ndar
 
 
 def destination(latitude: Column, longitude: Column, azimuth: Column, metres: Column) -> Column:
-    """struct(latitude, longitude) of the point at a geodesic distance along an azimuth in degrees, in Arrow batches."""
+    """struct(latitude, longitude, back) of the point at a geodesic distance along an azimuth in degrees, in Arrow batches.
 
-    @F.pandas_udf("struct<latitude:double,longitude:double>")
+    `back` is the azimuth from there to the start, from 0 to 360 degrees.
+    """
+
+    @F.pandas_udf("struct<latitude:double,longitude:double,back:double>")
     def direct(p: pd.Series, l: pd.Series, a: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("latitude", "longitude"), vincenty_direct(*(np.asarray(c, dtype=float) for c in (p, l, a, s))), strict=True)))
+        return pd.DataFrame(dict(zip(("latitude", "longitude", "back"), vincenty_direct(*(np.asarray(c, dtype=float) for c in (p, l, a, s))), strict=True)))
 
     # Else the optimiser works a point out again for each use of its two fields: 16 times at the end of four steps.
     return direct.asNondeterministic()(latitude, longitude, azimuth, metres)
 
 
-def vincenty_direct(p: np.ndarray, l: np.ndarray, azimuth: np.ndarray, metres: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Latitudes and longitudes by Vincenty's direct series; a distance of 0 stays in place."""
+def vincenty_direct(p: np.ndarray, l: np.ndarray, azimuth: np.ndarray, metres: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latitudes, longitudes and azimuths back to the start by Vincenty's direct series; a distance of 0 stays in place."""
     minor = AXIS_KM * (1 - FLATTENING)
     u, a = np.arctan((1 - FLATTENING) * np.tan(np.radians(p))), np.radians(azimuth)
     sin_a = np.cos(u) * np.sin(a)
@@ -125,4 +128,5 @@ def vincenty_direct(p: np.ndarray, l: np.ndarray, azimuth: np.ndarray, metres: n
     lam = np.arctan2(np.sin(sigma) * np.sin(a), np.cos(u) * np.cos(sigma) - np.sin(u) * np.sin(sigma) * np.cos(a))
     c = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
     span = lam - (1 - c) * FLATTENING * sin_a * (sigma + c * np.sin(sigma) * (mid + c * np.cos(sigma) * (2 * mid**2 - 1)))
-    return np.degrees(lat), l + np.degrees(span)
+    back = np.mod(np.degrees(np.arctan2(sin_a, -across)) + 180, 360)
+    return np.degrees(lat), l + np.degrees(span), back

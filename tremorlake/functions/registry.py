@@ -58,7 +58,7 @@ def _geodesic_km(p1: pd.Series, l1: pd.Series, p2: pd.Series, l2: pd.Series) ->
 
 def _geodesic_end(p: pd.Series, l: pd.Series, azimuth: pd.Series, metres: pd.Series) -> pd.DataFrame:
     made = geo.vincenty_direct(*(np.asarray(c, dtype=float) for c in (p, l, azimuth, metres)))
-    return pd.DataFrame(dict(zip(("latitude", "longitude"), made, strict=True)))
+    return pd.DataFrame(dict(zip(("latitude", "longitude", "back"), made, strict=True)))
 
 
 def register_functions(spark: SparkSession) -> list[str]:
@@ -67,5 +67,5 @@ def register_functions(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     spark.sql(SPECTRUM)
     spark.udf.register("geodesic_km", F.pandas_udf(_geodesic_km, "double"))
-    spark.udf.register("geodesic_end", F.pandas_udf(_geodesic_end, "struct<latitude:double,longitude:double>"))
+    spark.udf.register("geodesic_end", F.pandas_udf(_geodesic_end, "struct<latitude:double,longitude:double,back:double>"))
     return [h.partition("(")[0] for h in FUNCTIONS] + ["spectrum_of", "geodesic_km", "geodesic_end"]

@@ -122,14 +122,15 @@ def fourier_amplitude(values: Column, dt: float) -> Column:
 
     @F.pandas_udf("array<struct<frequency:double,amplitude:double>>")
     def amplitude(batch: pd.Series) -> pd.Series:
-        def one(a: np.ndarray | None) -> list | None:
-            if a is None or len(a) < 2:
-                return None
-            half = len(a) // 2
-            frequency = np.linspace(0, half, half) / (len(a) * dt)
-            found = 2 * np.abs(np.fft.fft(np.asarray(a, dtype=float))[:half] * dt)
-            return [{"frequency": f, "amplitude": v} for f, v in zip(frequency.tolist(), found.tolist(), strict=True)]
-
-        return batch.map(one)
+        made: list[list | None] = [None] * len(batch)
+        lengths = batch.map(lambda a: len(a) if a is not None else 0).to_numpy()
+        for n in np.unique(lengths[lengths > 1]):
+            # Records of one length are one transform.
+            rows, half = np.flatnonzero(lengths == n), int(n) // 2
+            frequency = (np.linspace(0, half, half) / (n * dt)).tolist()
+            found = 2 * np.abs(np.fft.fft(np.stack(batch.iloc[rows].to_list()).astype(float), axis=1)[:, :half] * dt)
+            for row, values_ in zip(rows, found.tolist(), strict=True):
+                made[row] = [{"frequency": f, "amplitude": v} for f, v in zip(frequency, values_, strict=True)]
+        return pd.Series(made)
 
     return amplitude(values)

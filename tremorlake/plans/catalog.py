@@ -7,7 +7,6 @@ The tables of the driver stand in for catalogues (`orders`), stations (`customer
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 DT = 0.01
-#: Periods and dampings of the reference's table of spectral values.
+#: Periods and dampings of the table of spectral values.
 PERIODS = [
     0.0, 0.01, 0.02, 0.022, 0.025, 0.029, 0.03, 0.032, 0.035, 0.036, 0.04, 0.042, 0.044, 0.045, 0.046, 0.048, 0.05, 0.055, 0.06, 0.065,
     0.067, 0.07, 0.075, 0.08, 0.085, 0.09, 0.095, 0.1, 0.11, 0.12, 0.13, 0.133, 0.14, 0.15, 0.16, 0.17, 0.18, 0.19, 0.2, 0.22,
@@ -248,9 +247,10 @@ def response_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rotated_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", _record().alias("x"), F.reverse(_record()).alias("y"))
-    made = [spectra.rotated_spectra(rows.withColumn("damping", F.lit(xi)), ["vec_id", "damping"], "x", "y", DT, PERIODS, xi, 181) for xi in DAMPINGS]
-    return reduce(DataFrame.unionByName, made)
+    """Rotated spectra at all periods and dampings of the table, all oscillators of a record in one pass."""
+    rows = _spread(spark, sf_dir).select("vec_id", _record().alias("x"), F.reverse(_record()).alias("y"), F.lit(None).cast("array<double>").alias("z"))
+    made = spectra.spectral_batch(rows, ["vec_id"], ["x", "y", "z"], DT, PERIODS, DAMPINGS, 181)
+    return made.select("vec_id", "damping", "period", "rotd0", "rotd50", "rotd100", "geometric_mean")
 
 
 @query("""
@@ -426,9 +426,8 @@ def corrected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("c.corrected").alias("samples"), *peak, F.round("c.fmin", 6).alias("fmin"), F.round("c.fmax", 6).alias("fmax"))
 
 
-@query(geodesy.RUPTURE)
-def rupture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as stations, nations as events: points, models of one ring, planes, and events with neither."""
+def _ruptures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stations with their events, models and planes: customers as stations, nations as events; points, models of one ring, planes, and events with neither."""
     event = F.col("n_nationkey")
     events = _table(spark, sf_dir, "nation").select(
         event.alias("event"), (-20.0 - event).alias("latitude"), (-70.0 - event / 10).alias("longitude"),
@@ -442,7 +441,12 @@ def rupture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(*(F.struct((F.col("longitude") + a).alias("lon"), (F.col("latitude") + b).alias("lat"), F.lit(2000.0).alias("depth_m")) for a, b in edge))
     models = events.where("event % 3 = 0").select("event", F.lit(1.0).alias("slip"), ring.alias("ring"))
     planes = events.where("event % 3 = 1").select("event", F.lit(10.0).alias("strike"), F.lit(20.0).alias("dip"))
-    found = rupture.distances(stations.join(events, "event"), models, planes)
+    return stations.join(events, "event"), models, planes
+
+
+@query(geodesy.RUPTURE)
+def rupture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rupture.distances(*_ruptures(spark, sf_dir))
     return _rounded(found, "rhypo", "repi", "rrup", "rjb", digits=4)
 
 

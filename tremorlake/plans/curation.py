@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import columns, geo
 from tremorlake.operators import curation, records, signals, spectra
-from tremorlake.plans.catalog import DAMPINGS, DT, ORDER, PERIODS, _record, _rounded, _series, _table, query
+from tremorlake.plans.catalog import DAMPINGS, DT, ORDER, PERIODS, _record, _rounded, _series, _spread, _table, query
 
 
 @query("""
@@ -386,13 +386,13 @@ def spectra_by_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING sum(l_quantity) > 20)
-SELECT s_suppkey, l_orderkey, l_linenumber, 'PENDING' AS status, []::DOUBLE[] AS corrected FROM o JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN (SELECT l_suppkey AS k, l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 2) ON k = s_suppkey
+SELECT s_suppkey, l_orderkey, l_linenumber, 'PENDING' AS status, []::DOUBLE[] AS corrected FROM o JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN (SELECT l_suppkey AS k, l_orderkey, l_linenumber FROM lineitem) ON k = s_suppkey
 """)
 def records_to_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outliers of a period column with all their records, whose corrected values are emptied and whose state is pending again."""
-    wide = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", [1]).agg(F.sum("l_quantity"))
+    wide = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", [*range(1, 8)]).agg(F.sum("l_quantity"))
     outliers = wide.where(F.col("1") > 20).join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey")
-    held = _table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber")
+    held = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber")
     return outliers.join(held, "s_suppkey", "left").select("s_suppkey", "l_orderkey", "l_linenumber", F.lit("PENDING").alias("status"), F.array().cast("array<double>").alias("corrected"))
 
 
@@ -418,9 +418,9 @@ def refreshed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spectral_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven kinds of spectra of records some of which lack components, at all periods and dampings of the reference's table."""
+    """Seven kinds of spectra of records some of which lack components, at all periods and dampings of the table."""
     scaled = F.transform(_record(), lambda v: v / signals.GRAVITY)
-    rows = _table(spark, sf_dir, "embeddings").select(
+    rows = _spread(spark, sf_dir).select(
         "vec_id", F.when(F.col("vec_id") % 5 != 0, scaled).alias("a1"), F.when(F.col("vec_id") % 7 != 0, F.reverse(scaled)).alias("a2"), scaled.alias("a3")
     )
     return spectra.spectral_batch(rows, ["vec_id"], ["a1", "a2", "a3"], DT, PERIODS, DAMPINGS, 181)
