@@ -37,3 +37,45 @@ def test_hinge_loss_separates():
     model = quality.fit(rows, positive, buckets=4)
     margins = [model.weights[r].sum() / np.sqrt(2) + model.bias for r in rows]
     assert all((m > 0) == p for m, p in zip(margins, positive))
+
+
+def test_ratios_against_counting():
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 12, r.integers(0, 8))) for _ in range(60)]
+    positive = r.random(60) < 0.4
+    got = quality.log_count_ratios(rows, positive, 12, alpha=0.5)
+    count = lambda f, y: 0.5 + sum(f in row.tolist() for row, p in zip(rows, positive) if p == y)
+    share = lambda f, y: count(f, y) / sum(count(g, y) for g in range(12))
+    assert np.allclose(got, [np.log(share(f, True) / share(f, False)) for f in range(12)])
+
+
+def test_no_step_lowers_the_hinge_loss():
+    """The loss is convex: where no small step in any direction lowers it, it is least."""
+    r = np.random.default_rng(8)
+    rows = [np.unique(r.integers(0, 9, r.integers(1, 6))) for _ in range(40)]
+    positive, scale, cost = r.random(40) < 0.5, r.normal(0, 1, 9), r.uniform(0.1, 1, 40)
+    weights, bias = quality.dual_coordinate_descent(rows, scale, positive, cost, passes=3000)
+
+    def loss(w, b):
+        margins = np.array([w[row] @ scale[row] / np.sqrt(len(row)) + b for row in rows])
+        return 0.5 * (w @ w + b * b) + cost @ np.maximum(0, 1 - np.where(positive, 1, -1) * margins)
+
+    least = loss(weights, bias)
+    for size in (1e-3, 1e-2, 0.1, 1.0):
+        for _ in range(500):
+            step = r.normal(0, size, 10)
+            assert loss(weights + step[:9], bias + step[9]) >= least * 0.999
+    assert least < loss(np.zeros(9), 0.0)
+
+
+def test_very_long_and_tied_texts_score_alike(spark, frame):
+    """A text of megabytes is scored whole: what stands at its end counts; ties of ids and texts play no part."""
+    rows = [(i, f"good words {i}" if i % 2 else "# # #") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.train(frame(rows), labels, "quality", quality.fold("doc_id") >= 0)
+    long = [(1, "good " * 400_000), (1, "good " * 400_000), (2, "good " * 400_000 + "# # #"), (3, "é" * 2_000_000)]
+    got = quality.score_quality(frame(long), model).collect()
+    by = {}
+    for q in got:
+        by.setdefault(q.text[-8:], set()).add(q.score)
+    assert len(got) == 4 and all(len(v) == 1 for v in by.values()) and len({v.copy().pop() for v in by.values()}) == 3

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -124,3 +125,52 @@ def test_packing_with_clashing_columns_and_null_ids(frame):
     made = packing.pack_best_fit(named, 64)
     assert made.columns == ["doc_id", "bin", "final", "length", "key", "group", "row", "sequence_id", "offset"]
     assert sorted((r.doc_id or 0, r.length) for r in made.collect()) == [(0, 3), (0, 3), (1, 1)]
+
+
+def test_text_without_white_space_takes_linear_time():
+    """Numbers, signs and Chinese without white space: as counted by the library, and eight times as much in far less than 64 times."""
+    r = random.Random(3)
+    machine, library = tokens.FiniteStateTokenizer(PATH), Tokenizer.from_file(PATH)
+    number = lambda: f"{r.random():.5f},{r.randint(0, 999)};"
+    sign = lambda: chr(r.randint(0x4E00, 0x9FA5)) * 9 + "，"
+    for made in (number, sign):
+        short = "".join(made() for _ in range(6_000))
+        assert machine.count(short) == len(library.encode(short, add_special_tokens=False).ids)
+        long, took = "".join(made() for _ in range(48_000)), []
+        for text in (short, long):
+            machine.count(text)  # pretokens are counted once
+            began = time.perf_counter()
+            machine.count(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 32 * max(took[0], 0.01)
+
+
+def test_edges_are_sure_at_any_cut():
+    r = random.Random(5)
+    parts = ["'", "'s", "'re", "a", "B", "1", " ", "  ", "\n", "é", "日本", "。", ".", "#", "\u0301", "don't", "\u00a0", "\u3000"]
+    library = Tokenizer.from_file(PATH)
+    machines = [tokens.FiniteStateTokenizer(PATH, chunk) for chunk in (1, 2, 3, 7)]
+    for _ in range(500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        assert [m.count(text) for m in machines] == [want] * 4
+
+
+def test_exchange_goes_on_while_it_takes_fewer_sequences(spark):
+    """Groups of few pieces leave much room: exchange comes near the bound, never over what one round takes."""
+    r = np.random.default_rng(4)
+    lengths = r.integers(300, 1500, 1200)
+    pieces = spark.createDataFrame([(int(n),) for n in lengths], "length long")
+    packed = packing.pack_best_fit(pieces, 2048, per_group=64)
+    rows = packed.collect()
+    bins = {}
+    for q in rows:
+        bins.setdefault(q.sequence_id, []).append((q.offset, q.length))
+    assert sorted(q.length for q in rows) == sorted(lengths.tolist())
+    for held in bins.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 2048
+    used, least = packing.packing_gap(packed, 2048)
+    assert used == len(bins)
+    alone = sum(len(set(packing.best_fit_decreasing(lengths[k : k + 64], 2048))) for k in range(0, 1200, 64))
+    assert least <= used < alone and used <= least * 1.06

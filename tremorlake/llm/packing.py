@@ -18,9 +18,6 @@ from tremorlake.llm.tokens import TokenIds
 #: Pieces of a partition that is packed at once.
 PIECES_PER_GROUP = 2048
 
-#: Exchange among partitions that are not certified goes on while a round settles this share of its pieces.
-SETTLED = 0.2
-
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -125,9 +122,9 @@ def pack_best_fit(pieces: DataFrame, size: int, per_group: int = PIECES_PER_GROU
 
     Groups of about `per_group` pieces are packed by best-fit decreasing. A group whose bins
     are as few as its lower bound is certified and keeps them, but for the emptiest; in
-    others only full bins stay. What is left is dealt anew and packed again, while a round
-    settles SETTLED of its pieces and there is more than one group; what is then not certified
-    stays as packed last, and `packing_gap` tells how far from the bound that is. Pieces must have
+    others only full bins stay. What is left is exchanged: dealt anew over fewer groups and packed again, as long as
+    that takes fewer sequences than before and there is more than one group. What is then not certified stays in
+    the fewest sequences found, and `packing_gap` tells how far from the bound all are. Pieces must have
     1 to `size` tokens in the column length; other columns may have any names, and those of the
     new names are replaced. Repeated rows are pieces of their own. An empty table gives an
     empty result.
@@ -137,17 +134,21 @@ def pack_best_fit(pieces: DataFrame, size: int, per_group: int = PIECES_PER_GROU
     left = cut(source.select(F.monotonically_increasing_id().alias("key"), F.col(length).alias("length"), F.struct(*names).alias("row")))
     schema = f"key long, length long, row {left.schema['row'].dataType.simpleString()}, bin long, final boolean, offset long"
     done: list[DataFrame] = []
-    n, turn = left.count(), 0
+    n, turn, last, least = left.count(), 0, None, 0
     while True:
         groups = -(-max(n, 1) // per_group)
         dealt = left.withColumn("group", F.expr(f"pmod(xxhash64(key, {turn}L), {groups}L)"))
         packed = cut(dealt.groupBy("group").applyInPandas(_packer(size, turn), schema))
-        rest = packed.where("NOT final").count()
-        if not rest or groups == 1 or rest > (1 - SETTLED) * n:
+        if last is not None and packed.select("bin").distinct().count() >= least:
+            done.append(last)
+            break
+        last = packed.where("NOT final")
+        n, least = last.agg(F.count("*"), F.count_distinct("bin")).first()
+        if not n or groups == 1:
             done.append(packed)
             break
         done.append(packed.where("final"))
-        left, n, turn = packed.where("NOT final").drop("bin", "final", "offset"), rest, turn + 1
+        left, turn = last.drop("bin", "final", "offset"), turn + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

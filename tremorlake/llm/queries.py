@@ -70,7 +70,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.apply_quality_rules(table(spark, sf_dir, "documents"))
+    judged = rules.apply_quality_rules(table(spark, sf_dir, "documents"), measure_costs=True)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

@@ -47,8 +47,8 @@ class QualityRule:
     weight: float = 20.0
 
 
-#: The rules beside the base; thresholds in hundredths so that all arithmetic is exact. Weights as
-#: `timed` gave them over raw texts: a comparison of measures that the base has made anyway, or passes over the text.
+#: The rules beside the base; thresholds in hundredths so that all arithmetic is exact. Weights are what `timed` once
+#: gave: a comparison of measures that the base has made anyway, or passes over the text; a call times them anew on its sample.
 RULES = (
     QualityRule("symbols", "100 * n_symbols > 30 * n_words"),
     QualityRule("duplicate_lines", "size(__lines) >= 4 AND 100 * n_dup_lines > 30 * size(__lines)"),
@@ -85,8 +85,7 @@ def sampled(docs: DataFrame, key: str, rows: int = SAMPLE_ROWS) -> DataFrame:
 def cascade_order(sample: DataFrame, rules: tuple[QualityRule, ...], text: str = "text") -> list[QualityRule]:
     """Rules by rejections per cost over the sample's documents that pass the base, most first; ties by name.
 
-    A rule's cost is its work over these documents times its weight. Nothing is timed here, so that the
-    order is the same in every call; `timed` gives rules with weights measured on a sample.
+    A rule's cost is its work over these documents times its weight; `timed` gives rules with weights measured on the sample.
     """
     if not rules:
         return []
@@ -112,9 +111,12 @@ def timed(sample: DataFrame, rules: tuple[QualityRule, ...], text: str = "text",
             best = min(best, time.perf_counter() - began)
         return best
 
+    seconds("n_words < 0")  # the first job also compiles
     without = seconds("n_words < 0")
     work = raw.selectExpr(*[f"sum(cast({r.work} AS double)) AS w{i}" for i, r in enumerate(rules)]).first()
-    return tuple(replace(r, weight=max(1e9 * (seconds(r.fails) - without) / max(work[i] or 0.0, 1.0), 0.1)) for i, r in enumerate(rules))
+    found = tuple(replace(r, weight=max(1e9 * (seconds(r.fails) - without) / max(work[i] or 0.0, 1.0), 0.1)) for i, r in enumerate(rules))
+    drop_cut(raw)
+    return found
 
 
 def verdict_sql(ordered: list[QualityRule]) -> str:
@@ -123,7 +125,7 @@ def verdict_sql(ordered: list[QualityRule]) -> str:
 
 
 def apply_quality_rules(
-    docs: DataFrame, rules: tuple[QualityRule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, key: str = "doc_id"
+    docs: DataFrame, rules: tuple[QualityRule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", measure_costs: bool = False
 ) -> DataFrame:
     """Measure every whole text and judge it by the base rule and then by the cascade.
 
@@ -131,12 +133,16 @@ def apply_quality_rules(
     failed_rule (the first rule of the cascade that failed, `base` for the base rule, else
     null); columns of these names are replaced, others may have any names. A document fails the
     base with under 50 words or over half of its words in repeated 3-word windows. A rule is
-    evaluated only where all before it passed; the order, from a sample by the hash of `key`, is
-    the same in every call over the same rows and changes the cost but no verdict. A null text
-    is empty and fails the base; a null key is never or always in the sample. Repeated rows are
-    judged alike; an empty table gives none.
+    evaluated only where all before it passed. Rules are ordered by rejections per cost, estimated on a
+    sample by the hash of `key`: with `measure_costs` by the time that each takes there, else by its work
+    there and the rules' own weights, so that the order is the same in every call. The order changes the
+    cost and which of several failed rules is named, but no verdict. A null text is empty and fails the base; a null key is never or
+    always in the sample. Repeated rows are judged alike; an empty table gives none. Very long texts are
+    measured whole; each measure takes time in proportion to the text, but for sorts of its words.
     """
-    ordered = cascade_order(sampled(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", sample_rows), rules)
+    sample = cut(sampled(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", sample_rows).select("text"))
+    ordered = cascade_order(sample, timed(sample, rules, repeats=1) if measure_costs else rules)
+    drop_cut(sample)
     source, names = plain_names(docs)
     made = measured(source, names[docs.columns.index(text)]).withColumn("failed_rule", F.expr(verdict_sql(ordered)))
     new = (*MEASURES, "base_failed", "failed_rule", "kept")

@@ -247,12 +247,18 @@ def scan(maps: list[ChunkMap]) -> ChunkMap:
 class FiniteStateTokenizer:
     """Counts the tokens of texts as the tokenizer file gives them, added tokens included.
 
-    A pretoken counts in the chunk where it begins. A chunk comes with the text up to where white
-    space follows another character beyond its end, so that its last pretoken is whole.
+    A pretoken counts in the chunk where it begins. A chunk comes with the text up to the first sure edge
+    beyond its end, so that its last pretoken is whole.
     """
 
-    _meets = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
-    _whole = regex.compile(r"\p{White_Space}*\P{White_Space}+")
+    #: Between two characters of such kinds a pretoken ends, whatever precedes them: before white space, at the end of
+    #: letters or digits, and before these after another character; an apostrophe may belong to letters that follow.
+    _edge = regex.compile(
+        r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{L}\p{White_Space}])|(?<=\p{N})(?=[^\p{N}\p{White_Space}])"
+        r"|(?<=[^\p{White_Space}\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=')(?=\p{N})"
+    )
+
+    _run = regex.compile(r"\p{White_Space}+|\p{L}+|\p{N}+")
 
     def __init__(self, path: str, chunk: int = CHUNK, memo: int = MEMO) -> None:
         self.known = _Counts(CountingTransducer(path))
@@ -267,8 +273,17 @@ class FiniteStateTokenizer:
                 yield "", 0
             for a in range(0, len(part), self.chunk):
                 b = min(a + self.chunk, len(part))
-                rest = self._whole.match(part, b)
-                yield part[a : rest.end() if rest else len(part)], b - a
+                yield part[a : self._edge_from(part, b)], b - a
+
+    def _edge_from(self, text: str, at: int, step: int = 256) -> int:
+        """The first sure edge from place `at` on; long runs of one kind, which hold none, are passed at once."""
+        while at < len(text):
+            if found := self._edge.search(text, at, at + step):
+                return found.start()
+            at += step
+            if at < len(text) and (run := self._run.match(text, at - 1)):
+                at = max(at, run.end())
+        return len(text)
 
     def _read(self, pending: str, text: str, end: int) -> tuple[int, int]:
         """The state at `end` and the tokens of the pretokens that begin before it, in a text after the beginning of a pretoken."""
@@ -287,7 +302,7 @@ class FiniteStateTokenizer:
     def chunk_map(self, text: str, end: int, begins: bool = False) -> ChunkMap:
         """The map of a chunk of `end` characters; with `begins`, of the first one, for the start only.
 
-        From where white space follows another character on, all states have met.
+        From the first sure edge on, all states have met.
         """
         if not end:
             return [(0, 1)] * len(PENDING)
@@ -295,7 +310,7 @@ class FiniteStateTokenizer:
             self.known.clear()
         if begins:
             return [self._read("", text, end)]
-        meet = self._meets.search(text, 0, end)
+        meet = self._edge.search(text, 0, end)
         if meet is None:
             return [self._read(pending, text, end) for pending in PENDING]
         state, count = self._read("", text[meet.start() :], end - meet.start())
