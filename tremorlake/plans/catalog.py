@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions import columns, geo
-from tremorlake.operators import correction, relations, rupture, sampler, signals, spectra
+from tremorlake.operators import correction, picker, relations, rupture, sampler, signals, spectra
 from tremorlake.plans import geodesy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,8 +413,9 @@ def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def arrival_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks in each vector taken as a record of 10 samples a second."""
-    rows = _spread(spark, sf_dir).select("vec_id", correction.pick_arrivals(F.col("vec_id"), _record(), 10.0).alias("p"))
-    return rows.select("vec_id", "p.position", "p.status", F.round(F.array_min("p.similarity"), 6).alias("least"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", _record().alias("v"))
+    made = picker.pick_arrivals(rows, "vec_id", "v", 10.0)
+    return made.select("vec_id", "position", "status", F.round(F.array_min("similarity"), 6).alias("least"))
 
 
 @query()

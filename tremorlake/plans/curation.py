@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions import columns, geo
-from tremorlake.operators import curation, records, signals, spectra
+from tremorlake.operators import curation, records, scans, signals, spectra
 from tremorlake.plans.catalog import DAMPINGS, DT, ORDER, PERIODS, _record, _rounded, _series, _spread, _table, query
 
 
@@ -91,13 +91,9 @@ def flat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds number, from 0 in the order of all rows: by range partitions, whose sizes are added up, so that no task sees all rows."""
-    ranged = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    made = ranged.withColumn("__k", within).join(F.broadcast(before), "__p").withColumn("number", F.col("__before") + F.col("__k") - 1)
-    return made.drop("__p", "__k", "__before").orderBy(*order)
+    """Adds number, from 0 in the order of all rows: counted by ranges that are written once, so that no task sees all rows."""
+    blocks = scans.in_blocks(rows, [], order)
+    return scans.plain(blocks.withColumn("number", F.col(scans.PLACE))).orderBy(*order)
 
 
 @query("""
