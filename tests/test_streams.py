@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tremorlake.streaming.keyed import KeyedTable, merge_catalogue, newest
+from tremorlake.streaming.keyed import KeyedTable, arriving, merge_catalogue, newest
 from tremorlake.streaming.review import keep_reviews, review_states
 
 CATALOGUE = "id string, stations string, magnitude double, n long"
@@ -27,7 +27,7 @@ def files_of(folder):
 
 def test_catalogue_unites_lists_and_keeps_untouched_files(spark, tmp_path):
     table = KeyedTable(str(tmp_path / "t"), ("id",), 16)
-    run = lambda: merge_catalogue(spark, str(tmp_path / "in"), CATALOGUE, table, "n", ("stations",), str(tmp_path / "cp")).awaitTermination()
+    run = lambda: merge_catalogue(arriving(spark, str(tmp_path / "in"), CATALOGUE), table, "n", ("stations",), str(tmp_path / "cp")).awaitTermination()
     first = [(f"e{k}", "B; A", float(k), 1) for k in range(40)] + [(None, "X", None, 1)]
     arrive(spark, tmp_path / "in", [first], CATALOGUE)
     run()
@@ -72,7 +72,7 @@ def test_reviews_in_any_order_across_restarts(spark, tmp_path, seed):
     r.shuffle(rows)
     files = [rows[k : k + 25] for k in range(0, len(rows), 25)]
     table = KeyedTable(str(tmp_path / "t"), ("event", "station"), 8)
-    run = lambda: keep_reviews(spark, str(tmp_path / "in"), DECISIONS, table, str(tmp_path / "cp")).awaitTermination()
+    run = lambda: keep_reviews(arriving(spark, str(tmp_path / "in"), DECISIONS), table, str(tmp_path / "cp")).awaitTermination()
     for k in range(0, len(files), 3):  # each call goes on from the checkpoint of the last
         arrive(spark, tmp_path / "in", files[k : k + 3], DECISIONS, k)
         run()

@@ -27,13 +27,19 @@ def _files(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path, files = _files(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder, which goes with `dropped` or when the driver ends."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    folder = working_folder(spark, "table")
     df.write.parquet(folder)
-    path, files = _files(spark, folder)
-    files.deleteOnExit(path)
     made = spark.read.schema(df.schema).parquet(folder)
     made.table_folder = folder
     return made

@@ -104,15 +104,19 @@ def newest(keys: tuple[str, ...], version: str, united: tuple[str, ...] = ()) ->
     return combine
 
 
-def merge_catalogue(spark: SparkSession, source: str, schema: str, table: KeyedTable, version: str, united: tuple[str, ...], checkpoint: str, files_at_once: int = 1) -> StreamingQuery:
-    """Catalogue files that arrive one by one, merged into `table`; ends when all are read.
+def arriving(spark: SparkSession, source: str, schema: str, files_at_once: int = 1) -> DataFrame:
+    """A stream of the rows of Parquet files in the order of their arrival."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(source)
+
+
+def merge_catalogue(rows: DataFrame, table: KeyedTable, version: str, united: tuple[str, ...], checkpoint: str) -> StreamingQuery:
+    """A stream of catalogue rows merged into `table`; ends when all that is there is read.
 
     The greatest version of a key counts, however late lower ones come; its lists are united over all versions; keys that
     no longer come stay. Read it with `table.read`.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(source)
     combine = newest(table.keys, version, united)
     return (
-        stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number, combine))
+        rows.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number, combine))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -51,16 +51,16 @@ class PickReview(StatefulProcessor):
     """Keeps the last decision and the last correction of a pick; returns the pick whenever they change it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.decision = handle.getValueState("decision", "at bigint, position bigint, verdict string, moved boolean")
-        self.correction = handle.getValueState("correction", "at bigint")
-        self.changes = handle.getValueState("changes", "n bigint")
+        # One value for all: each read and each write of a state is a call to the executor's store.
+        self.pick = handle.getValueState("pick", "at bigint, position bigint, verdict string, moved boolean, corrected bigint, changes bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = tuple(self.decision.get()) if self.decision.exists() else None
-        corrected_before = self.correction.get()[0] if self.correction.exists() else None
+        held = self.pick.get()
+        *before, corrected_before, changes = tuple(held) if held is not None else (None,) * 5 + (0,)
+        before = tuple(before) if before[0] is not None else None
         last, corrected = before, corrected_before
         for frame in rows:
-            for at, position, verdict, moved in frame[["at", "position", "verdict", "moved"]].itertuples(index=False):
+            for at, position, verdict, moved in zip(*(frame[c].tolist() for c in ("at", "position", "verdict", "moved")), strict=True):
                 if pd.isna(at) or pd.isna(verdict):
                     continue
                 if verdict == CORRECTED:
@@ -68,16 +68,14 @@ class PickReview(StatefulProcessor):
                 elif verdict in VERDICTS:
                     new = (int(at), None if pd.isna(position) else int(position), verdict, None if pd.isna(moved) else bool(moved))
                     last = max(last, new, key=_rank) if last is not None else new
-        if last is not None and last != before:
-            self.decision.update(last)
-        if corrected is not None and corrected != corrected_before:
-            self.correction.update((corrected,))
-        flag = lambda d, c: d[2] == "valid" and c is not None and c > d[0]
-        if last is None or last == before and flag(last, corrected) == flag(before, corrected_before):
+        if (last, corrected) == (before, corrected_before):
             return
-        n = (self.changes.get()[0] if self.changes.exists() else 0) + 1
-        self.changes.update((n,))
-        yield pd.DataFrame([(*key, n, last[0], last[1], last[2].upper(), "Manual" if last[3] else "Automatic", flag(last, corrected))])
+        flag = lambda d, c: d[2] == "valid" and c is not None and c > d[0]
+        shown = last is not None and (last != before or flag(last, corrected) != flag(before, corrected_before))
+        changes += shown
+        self.pick.update((*(last or (None,) * 4), corrected, changes))
+        if shown:
+            yield pd.DataFrame([(*key, changes, last[0], last[1], last[2].upper(), "Manual" if last[3] else "Automatic", flag(last, corrected))])
 
     def close(self) -> None:
         pass
@@ -94,17 +92,16 @@ def review_changes(decisions: DataFrame, keys: list[str]) -> DataFrame:
     return named.groupBy(*keys).transformWithStateInPandas(PickReview(), f"{kinds}, changes bigint, {PICK}", "Update", "None")
 
 
-def keep_reviews(spark: SparkSession, source: str, schema: str, table: KeyedTable, checkpoint: str, files_at_once: int = 1) -> StreamingQuery:
-    """Files of decisions that arrive one by one, kept as a table of picks by key; ends when all are read.
+def keep_reviews(decisions: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """A stream of decisions kept as a table of picks by key; ends when all that is there is read.
 
     Started again, it goes on from its checkpoint: decisions that were read are not read again, and a batch that failed
     is merged once. Sets the session's state store to one that holds several values for each key.
     """
-    spark.conf.set(*STATE_STORE)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(source)
+    decisions.sparkSession.conf.set(*STATE_STORE)
     combine = newest(table.keys, "changes")
-    changed = review_changes(stream, list(table.keys))
     return (
-        changed.writeStream.outputMode("update").foreachBatch(lambda batch, number: table.merge(batch, number, combine))
+        review_changes(decisions, list(table.keys)).writeStream.outputMode("update")
+        .foreachBatch(lambda batch, number: table.merge(batch, number, combine))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
