@@ -52,3 +52,26 @@ def test_whole_run_leaves_one_table(spark, sf_dir):
     assert rows and max(sums.values()) <= 2048
     folder = shared_folder(spark).removeprefix("file:")
     assert [sorted(os.listdir(f"{folder}/{d}")) for d in os.listdir(folder) if d.startswith("corpus-")] == [["4"]]
+
+
+def tables(spark, folder, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, sequence_id string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_run_over_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, copies, repeated rows, a column named as one of the packing; then no documents at all."""
+    words = " ".join(f"word{k}" for k in range(90))
+    leak = "the planted passage of a benchmark item that nobody should ever train on"
+    docs = [
+        (1, None, None, None, None, None), (2, "", "en", "s", 0, "x"), (3, words, "en", "s", 9, "x"), (4, words, None, "s", 9, "x"), (None, words + " of no id", "en", "s", 9, "x"),
+        (5, f"{words[::-1]} {leak} {words[::-1]}", "en", "s", 9, "x"), (6, "write to a.b@c.de now", "en", "s", 9, "x"), (6, "write to a.b@c.de now", "en", "s", 9, "x"), (7, " ".join(f"long{k}" for k in range(60_000)), "en", "s", 9, "x"),
+    ]
+    tables(spark, tmp_path / "a", docs, [], [(1, leak), (None, None), (2, "")])
+    got = defaultdict(list)
+    for q in corpus_pipeline.run(spark, str(tmp_path / "a")).collect():
+        got[q.doc_id].append(q.length)
+    assert set(got) == {1, 2, 3, 6, 7, None} and got[1] == got[2] == [1] and len(got[6]) == 2 and sum(got[7]) > 60_000 and max(got[7]) == 2048
+    tables(spark, tmp_path / "b", [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0

@@ -79,3 +79,12 @@ def test_very_long_and_tied_texts_score_alike(spark, frame):
     for q in got:
         by.setdefault(q.text[-8:], set()).add(q.score)
     assert len(got) == 4 and all(len(v) == 1 for v in by.values()) and len({v.copy().pop() for v in by.values()}) == 3
+
+
+def test_features_of_texts_without_words():
+    """At any place of a batch, the last one too."""
+    import pyarrow as pa
+
+    for texts in ([""], [" "], ["a b", ""], ["", "a a a"], ["x", None, " \n", ""], []):
+        alone = [next(quality.features(pa.array([t], pa.string()))).tolist() for t in texts]
+        assert [f.tolist() for f in quality.features(pa.array(texts, pa.string()))] == alone

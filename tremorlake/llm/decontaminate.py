@@ -297,7 +297,9 @@ def find_leaks(
     Every whole text is compared with every item. Texts and items that are null or hold no
     letter or digit match nothing. Rows that repeat a doc_id or an item_id give their own matches;
     null ids are carried. A benchmark beyond `block_bytes` takes one pass over the documents for each
-    block, whose results are written before the next index is broadcast. Further columns of both tables, whatever their names, play no part. An empty table on either side gives an empty result.
+    block, whose results are written before the next index is broadcast. Further columns of both tables, whatever their names, play no part. An empty table on either side gives an empty
+    result. A very long text is searched whole by one task; of several places of an item the one of fewest edits is told,
+    then the first.
     """
     kinds = (("doc_id", T.LongType()), ("item_id", T.LongType()), ("start", T.LongType()), ("end", T.LongType()), ("edits", T.LongType()))
     schema = T.StructType([T.StructField(n, k) for n, k in kinds])

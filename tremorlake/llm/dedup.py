@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorlake.llm.components import connected_components
-from tremorlake.llm.runtime import cut, drop_cut, spread_join
+from tremorlake.llm.runtime import cut, drop_cut, salted_join, spread_join
 from tremorlake.llm.textkit import lower_ascii, mix, run_hash, text_slices, words
 
 _U = np.uint64
@@ -144,9 +144,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     """Add `linked` and `shared`, the shingles in both, to pairs (u, v) of classes, from the full sets of their documents."""
     ids = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
     sets = cut(_sets_of(ids, classes, docs, text, spec))
-    joined = pairs.join(sets.select(F.col("cid").alias("v"), F.col("hashes").alias("b")), "v").join(
-        sets.select(F.col("cid").alias("u"), F.col("hashes").alias("a")), "u"
-    )
+    # A hub is in as many pairs as its bands have members: its pairs are dealt into parts, each of which has its set.
+    total = pairs.count()
+    far = salted_join(pairs, sets.select(F.col("cid").alias("v"), F.col("hashes").alias("b")), "v", "u", total)
+    joined = salted_join(far, sets.select(F.col("cid").alias("u"), F.col("hashes").alias("a")), "u", "v", total)
     shared = joined.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).alias("n"))
     return shared.select("u", "v", (100 * F.col("shared") >= spec.percent * (F.col("n") - F.col("shared"))).alias("linked"), "shared")
 
@@ -203,7 +204,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
 
     A document without words has no shingles and is linked with nothing. A null doc_id is
     linked with nothing: component_id null, kept true. Rows that repeat a doc_id are rows of
-    one document for the links; each has its own n_shingles. An empty table gives none.
+    one document for the links; each has its own n_shingles. An empty table gives none. Very long
+    texts are compared whole. Only doc_id and `text` are read; other columns may have any names. Sets
+    are compared as 64-bit hashes of their shingles; documents with the same 128-bit print of these are
+    one class. Joins by band, by pair and by component spread the keys that very many rows have.
     """
     held: list[DataFrame] = []
 
@@ -221,8 +225,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         .select("cid", "n", "copies", F.explode("bands").alias("band"))
     )
     bands = hold(bands)
-    shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    bands = hold(bands.join(shared, "band").withColumns({b: F.col("n").cast("long") for b in _BOUNDS}))
+    shared = hold(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
+    bands = hold(spread_join(bands, shared, ["band"], "c", bands.count()).drop("c").withColumns({b: F.col("n").cast("long") for b in _BOUNDS}))
 
     kinds = (("u", T.LongType()), ("v", T.LongType()), ("linked", T.BooleanType()), ("shared", T.LongType()))
     schema = T.StructType([T.StructField(c, k) for c, k in kinds])
@@ -235,7 +239,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         rows, all_pairs = open_bands.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
         if not rows:
             break
-        unsettled = members.join(open_bands, "band")
+        unsettled = spread_join(members, open_bands, ["band"], "c", rows)
         few = all_pairs <= 2 * rows
         last = few or turn >= spec.hub_rounds
         if turn == 1 and not few:
@@ -243,7 +247,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         if last:
             # A pair counts in the first of the bands that it shares only. A crowded band is split: each of its
             # parts of about `part` classes meets all classes of the band, in a task of its own.
-            left = unsettled.join(unsettled.groupBy("cid").agg(F.collect_list("band").alias("bands")), "cid").drop("c").join(open_bands, "band")
+            left = unsettled.join(unsettled.groupBy("cid").agg(F.collect_list("band").alias("bands")), "cid").drop("c")
+            left = spread_join(left, open_bands, ["band"], "c", rows)
             left = left.withColumn("parts", F.ceil(F.col("c") / spec.part).cast("int"))
             right = left.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth"), F.col("component").alias("far"), F.col("bands").alias("bands_2"), *_other())
             left = left.withColumn("nth", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
@@ -251,11 +256,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
             pairs = left.join(right, ["band", "nth"]).where(f"component < far AND {_possible(spec)} AND {once}")
         else:
             order = F.struct(-F.col("copies"), "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)), "cid")
-            hubs = unsettled.groupBy("band").agg(F.min_by(F.struct("cid", "component", *_BOUNDS), order).alias("hub"))
+            hubs = hold(unsettled.groupBy("band").agg(F.min_by(F.struct("cid", "component", *_BOUNDS), order).alias("hub"), F.count("*").alias("rows")))
             if turn == 0:
-                hubs = hold(hubs)
                 first_hubs = hubs.select("band", F.col("hub.cid").alias("hub"))
-            pairs = unsettled.join(hubs, "band").where("component <> hub.component").select("cid", *_BOUNDS, *_other("hub."))
+            pairs = spread_join(unsettled, hubs, ["band"], "rows", rows).where("component <> hub.component").select("cid", *_BOUNDS, *_other("hub."))
             pairs = pairs.where(_possible(spec))
         pairs = pairs.select(F.least("cid", "other").alias("u"), F.greatest("cid", "other").alias("v")).distinct()
         pairs = hold(pairs.join(judged, ["u", "v"], "left_anti"))

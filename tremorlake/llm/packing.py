@@ -166,5 +166,10 @@ def packing_gap(packed: DataFrame, size: int) -> tuple[int, int]:
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, text: str = "text") -> DataFrame:
-    """Tokenize whole documents, cut those over `size` tokens, and pack the pieces."""
+    """Tokenize whole documents, cut those over `size` tokens, and pack the pieces.
+
+    A null or empty text is a piece of the end id alone; null ids are carried; repeated rows give their pieces each; an
+    empty table gives an empty result. A very long text is encoded by one task and cut into as many pieces as it needs.
+    Pieces of equal length are packed in the order of their rows' numbers. Other columns of `docs` play no part.
+    """
     return pack_best_fit(token_pieces(docs, path, size, end_id, text), size)

@@ -64,7 +64,7 @@ def _text_features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Itera
     for i in range(len(offsets) - 1):
         a, b, c, d = first[i], first[i + 1], at[i], at[i + 1]
         parts = [word[a:b], pair[a : max(b - 1, a)], *(g[c : max(d - n + 1, c)] for n, g in grams.items())]
-        if counted[max(b - 1, a)] > counted[a]:
+        if b > a and counted[b - 1] > counted[a]:
             runs = [n for n in REPEATS if b - a >= n and (counted[a + n - 1 : b] - counted[a : b - n + 1] == n - 1).any()]
             parts.append(mix(np.array(runs, dtype=np.uint64)))
         flags = np.zeros(buckets, dtype=bool)
@@ -235,8 +235,9 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     """Add score (0 to 1, higher: better) and predicted (1 if score >= threshold, else 0) to every row.
 
     Only the whole text counts. A null text is empty; an empty text has no features and
-    scores by the bias alone. Columns of these names are replaced; repeated rows score alike;
-    an empty table gives an empty result.
+    scores by the bias alone. Columns of these names are replaced; repeated rows and equal texts
+    score alike, ties of scores play no part; an empty table gives an empty result. A very long text
+    is taken whole, in a slice of its own.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)

@@ -241,7 +241,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", spec: Repeats = Repeats(
     words are joined by one space. Columns of the new names are replaced. A null text is
     empty; texts shorter than a window lose nothing. Repeated rows are copies of each other
     like any others, whatever their key, which may be null; they share blocks of bounded size.
-    An empty table gives an empty result. Other columns may have any names.
+    An empty table gives an empty result. Other columns may have any names. A very long text is taken
+    whole, in a slice of its own; of equal passages none is kept before others: all of them go.
     """
     new = ("n_words", "n_removed", "kept_text")
     source, names = plain_names(docs)
