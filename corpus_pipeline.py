@@ -59,6 +59,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`; what each returns is written in the shared folder and read by the next.
 
     The folder of a stage goes when that of the next one is written, the last one when the driver ends.
+
+    Documents with a null or empty text have no words to judge, to copy or to leak: the classifier scores them by its bias, and
+    where it keeps them they stay one piece each of the end id alone. Null ids are carried through all stages. Of rows
+    that repeat an id all stay or go together with their document; very long texts are taken whole by every stage; of equal
+    documents the one of the least id stays. Without labels every document counts as good; without a benchmark none leaks;
+    without documents there are no rows. Further columns, whatever their names, are carried to the packing.
     """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     remove_folder(spark, folder, at_exit=True)
