@@ -61,7 +61,7 @@ def test_a_batch_that_runs_again_gives_the_same_table(spark, tmp_path):
 DECISIONS = "event string, station string, at long, position long, verdict string, moved boolean"
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_reviews_in_any_order_across_restarts(spark, tmp_path, seed):
     r = random.Random(seed)
     rows = [

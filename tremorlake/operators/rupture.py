@@ -160,3 +160,30 @@ def distances(pairs: DataFrame, models: DataFrame, planes: DataFrame) -> DataFra
     rrup = F.when(F.col("method") == "point", F.col("rhypo")).otherwise(F.col("straight"))
     rjb = F.when(F.col("method") == "point", F.col("repi")).when(F.col("inside"), 0.0).otherwise(F.col("flat"))
     return out.select(*keys, "rhypo", "repi", rrup.alias("rrup"), rjb.alias("rjb"), "method")
+
+
+#: Types of the models and planes that `distances` asks for.
+MODELS, PLANES = "event {event}, slip double, ring array<struct<lon:double,lat:double,depth_m:double>>", "event {event}, strike double, dip double"
+
+
+def _lists(pairs: DataFrame, models: DataFrame | None, planes: DataFrame | None, method: str) -> DataFrame:
+    """(event, station, distances) of the pairs of one method: an array of rhypo, repi, rrup and rjb."""
+    event = pairs.schema["event"].dataType.simpleString()
+    none = lambda kind: pairs.sparkSession.createDataFrame([], kind.format(event=event))
+    found = distances(pairs, none(MODELS) if models is None else models, none(PLANES) if planes is None else planes)
+    return found.where(F.col("method") == method).select("event", "station", F.array("rhypo", "repi", "rrup", "rjb").alias("distances"))
+
+
+def point_lists(pairs: DataFrame) -> DataFrame:
+    """Distances of whole files of stations to ruptures that are points, those under EXTENDED."""
+    return _lists(pairs.where(F.col("magnitude") < EXTENDED), None, None, "point")
+
+
+def model_lists(pairs: DataFrame, models: DataFrame) -> DataFrame:
+    """Distances of whole files of stations to ruptures with a finite-fault model."""
+    return _lists(pairs.join(models.select("event").distinct(), "event", "left_semi"), models, None, "model")
+
+
+def plane_lists(pairs: DataFrame, planes: DataFrame) -> DataFrame:
+    """Distances of whole files of stations to ruptures of which only a plane is known."""
+    return _lists(pairs.join(planes.select("event").distinct(), "event", "left_semi"), None, planes, "plane")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.functions import columns
-from tremorlake.operators import maintenance, records, spectra
+from tremorlake.operators import maintenance, records, rupture, spectra
 from tremorlake.plans import geodesy
 from tremorlake.plans.catalog import DT, ORACLES, _record, _rounded, _ruptures, _table, query
 
@@ -95,6 +95,22 @@ def refreshed_rupture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(marked.select("event", "station", *maintenance.DISTANCES, F.coalesce("refreshed", F.lit(False)).alias("refreshed")), *maintenance.DISTANCES, digits=4)
 
 
+@query(f"""
+WITH r AS ({geodesy.RUPTURE}) SELECT event, station, method, rhypo, repi, rrup, rjb FROM r WHERE method <> 'finite fault model required'
+""")
+def distance_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of whole files by kind of rupture: points, models, planes, each worked out alone."""
+    pairs, models, planes = _ruptures(spark, sf_dir)
+    extended = pairs.where(f"magnitude >= {rupture.EXTENDED}")
+    found = {
+        "point": rupture.point_lists(pairs), "model": rupture.model_lists(extended, models),
+        "plane": rupture.plane_lists(extended.join(models.select("event"), "event", "left_anti"), planes),
+    }
+    named = [df.withColumn("method", F.lit(method)) for method, df in found.items()]
+    columns_ = [F.round(F.col("distances")[k], 4).alias(n) for k, n in enumerate(maintenance.DISTANCES)]
+    return named[0].unionByName(named[1]).unionByName(named[2]).select("event", "station", "method", *columns_)
+
+
 @query("""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, vec_id % 3 = 0 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS ready FROM embeddings)
 SELECT vec_id, ready OR vec_id % 5 = 0 AS corrected, CASE WHEN ready THEN 16 END AS p_wave, CASE WHEN ready THEN 'now' ELSE 'before' END AS updated,
