@@ -19,11 +19,11 @@ def test_geodesic_there_and_back(spark):
     """The azimuth back from the end leads to the start over the same length."""
     r = np.random.default_rng(1)
     p, l, a, s = r.uniform(-80, 80, 200), r.uniform(-180, 180, 200), r.uniform(0, 360, 200), r.uniform(1, 5e6, 200)
-    lat, lon, back = geo.vincenty_direct(p, l, a, s)
-    home, home_l, again = geo.vincenty_direct(lat, lon, back, s)
+    lat, lon, back = geo.vincenty_ends(p, l, a, s)
+    home, home_l, again = geo.vincenty_ends(lat, lon, back, s)
     assert home == pytest.approx(p, abs=1e-9) and np.mod(home_l - l + 180, 360) - 180 == pytest.approx(np.zeros(200), abs=1e-8)
     assert np.mod(again - a + 180, 360) - 180 == pytest.approx(np.zeros(200), abs=1e-7) and back.min() >= 0 and back.max() < 360
-    still = geo.vincenty_direct(np.array([10.0]), np.array([20.0]), np.array([30.0]), np.array([0.0]))
+    still = geo.vincenty_ends(np.array([10.0]), np.array([20.0]), np.array([30.0]), np.array([0.0]))
     assert [x[0] for x in still] == pytest.approx([10.0, 20.0, 210.0])
 
 

@@ -100,13 +100,18 @@ def destination(latitude: Column, longitude: Column, azimuth: Column, metres: Co
 
     @F.pandas_udf("struct<latitude:double,longitude:double,back:double>")
     def direct(p: pd.Series, l: pd.Series, a: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("latitude", "longitude", "back"), vincenty_direct(*(np.asarray(c, dtype=float) for c in (p, l, a, s))), strict=True)))
+        return pd.DataFrame(dict(zip(("latitude", "longitude", "back"), vincenty_ends(*(np.asarray(c, dtype=float) for c in (p, l, a, s))), strict=True)))
 
     # Else the optimiser works a point out again for each use of its two fields: 16 times at the end of four steps.
     return direct.asNondeterministic()(latitude, longitude, azimuth, metres)
 
 
-def vincenty_direct(p: np.ndarray, l: np.ndarray, azimuth: np.ndarray, metres: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def vincenty_direct(p: np.ndarray, l: np.ndarray, azimuth: np.ndarray, metres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes of the ends."""
+    return vincenty_ends(p, l, azimuth, metres)[:2]
+
+
+def vincenty_ends(p: np.ndarray, l: np.ndarray, azimuth: np.ndarray, metres: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Latitudes, longitudes and azimuths back to the start by Vincenty's direct series; a distance of 0 stays in place."""
     minor = AXIS_KM * (1 - FLATTENING)
     u, a = np.arctan((1 - FLATTENING) * np.tan(np.radians(p))), np.radians(azimuth)

@@ -57,7 +57,7 @@ def _geodesic_km(p1: pd.Series, l1: pd.Series, p2: pd.Series, l2: pd.Series) ->
 
 
 def _geodesic_end(p: pd.Series, l: pd.Series, azimuth: pd.Series, metres: pd.Series) -> pd.DataFrame:
-    made = geo.vincenty_direct(*(np.asarray(c, dtype=float) for c in (p, l, azimuth, metres)))
+    made = geo.vincenty_ends(*(np.asarray(c, dtype=float) for c in (p, l, azimuth, metres)))
     return pd.DataFrame(dict(zip(("latitude", "longitude", "back"), made, strict=True)))
 
 
