@@ -3,7 +3,6 @@ import re
 from collections import Counter, defaultdict
 
 from tremorlake.llm import dedup, queries
-from tremorlake.llm.runtime import salted_join
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,18 +82,6 @@ def test_crowded_band_in_parts(frame):
     assert Counter(tuple(r) for r in dedup.near_duplicates(frame(rows), spec=spec).collect()) == brute(rows, 4, 80)
 
 
-def test_a_salted_join_deals_a_hot_key_over_tasks(spark):
-    left = spark.range(6000).selectExpr("CASE WHEN id < 4000 THEN 1 ELSE id END AS k", "id AS v").unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
-    right = spark.range(7000).selectExpr("id AS k", "array(id, id) AS payload")
-    made = salted_join(left, right, "k", "v", left.count())
-    assert sorted(tuple(r) for r in made.select("k", "v").collect()) == sorted((1 if v < 4000 else v, v) for v in range(6000))
-    assert made.where("payload[0] <> k").count() == 0
-    assert salted_join(left.limit(0), right, "k", "v", 0).count() == 0
-    # With a bound of one row for each part, the hot key is in thousands of parts of about one row each.
-    plan = salted_join(left, right, "k", "v", 4096)
-    assert plan.groupBy("k").count().agg({"count": "max"}).first()[0] == 4000
-
-
 def test_five_thousand_near_copies(frame):
     """One large group of near copies, each with a word or two of its own, and as many texts that share half of it."""
     r = random.Random(12)

@@ -76,17 +76,3 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, t
     rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return spread.unionByName(rest.join(right.where(F.col(rows) <= total // 4096), keys))
 
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, total: int) -> DataFrame:
-    """Inner join with `right`, which has one row for each key, of any size, so that no task meets all rows of a key of `left`.
-
-    At most 4096 keys can each have over a 4096th of the `total` rows of `left`: their rows are dealt into parts by the
-    hash of `by`, and their row of `right` goes to every part. Only keys and numbers of parts are broadcast. `left` is read twice.
-    """
-    most = max(total // 4096, 1)
-    heavy = left.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1")
-    heavy = F.broadcast(heavy)
-    parts = F.coalesce("__parts", F.lit(1))
-    dealt = left.join(heavy, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
-    copies = right.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return dealt.join(copies, [key, "__part"]).drop("__part")
