@@ -75,4 +75,3 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, t
     spread = left.join(F.broadcast(heavy), keys)
     rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return spread.unionByName(rest.join(right.where(F.col(rows) <= total // 4096), keys))
-
