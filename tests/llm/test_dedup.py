@@ -2,7 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from tremorlake.llm import dedup, queries
+from tremorlake.llm import components, dedup, queries
+from tremorlake.llm.runtime import cut
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,3 +95,21 @@ def test_five_thousand_near_copies(frame):
     rows += [(10_000 + i, " ".join(base[:40] + [f"x{i}y{k}" for k in range(40)])) for i in range(500)]
     got = {q.doc_id: q.component_id for q in dedup.near_duplicates(frame(rows), spec=dedup.NearDuplicates(shingle=4)).collect()}
     assert all(got[i] == 0 for i in range(5000)) and all(got[10_000 + i] == 10_000 + i for i in range(500))
+
+
+def test_components_without_a_last_round(spark, monkeypatch):
+    """Against union-find; no round is run only to see that nothing changes: stars are one table, the first."""
+    random.seed(8)
+    chain, hub = [(k, k + 1) for k in range(40)], [(100, k) for k in range(101, 160)]
+    web = [(random.randrange(200, 320), random.randrange(200, 320)) for _ in range(110)]
+    schema = "u long, v long"
+    for edges, most in ((hub, 1), (hub + [(99, 150)], 3), (chain, 9), (chain + hub + web + hub, 9), ([(5, 5)], 1), ([], 1)):
+        tables = []
+        monkeypatch.setattr(components, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+        got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, schema)).collect()}
+        lead = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in lead:
+            for u, v in edges:
+                if u != v:
+                    lead[u] = lead[v] = min(lead[u], lead[v])
+        assert got == lead and len(tables) <= most

@@ -167,9 +167,15 @@ def _other(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}cid").alias("other"), *(F.col(f"{prefix}{b}").alias(f"{b}_2") for b in _BOUNDS)]
 
 
-def _with_bounds(
-    unsettled: DataFrame, hubs: DataFrame, judged: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spec: NearDuplicates
-) -> DataFrame:
+def _alone(unsettled: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spec: NearDuplicates) -> DataFrame:
+    """(cid, alone): how many shingles of a class of crowded open bands no other class of these has, if any."""
+    crowded = unsettled.where(f"c > {spec.crowd}").select("cid").distinct()
+    sets = _sets_of(crowded, classes, docs, text, spec)
+    single = sets.select("cid", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("cid").alias("cid"))
+    return single.where("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
+
+
+def _with_bounds(unsettled: DataFrame, hubs: DataFrame, judged: DataFrame, alone: DataFrame, spec: NearDuplicates) -> DataFrame:
     """The rows of open bands with tighter bounds in crowded ones, without classes that can be linked to nothing there.
 
     A shingle that only one class of all crowded open bands has is shared in none of them; the
@@ -177,10 +183,6 @@ def _with_bounds(
     these classes, are known from its comparison. With 100 * reach < percent * n no other class
     can be linked. What is left out loses no link.
     """
-    crowded = unsettled.where(f"c > {spec.crowd}").select("cid").distinct()
-    sets = _sets_of(crowded, classes, docs, text, spec)
-    single = sets.select("cid", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("cid").alias("cid"))
-    alone = single.where("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
     near = unsettled.join(hubs, "band").where("cid = hub").select("band", "hub").distinct()
     rows = unsettled.join(near, "band", "left").withColumns({"u": F.least("cid", "hub"), "v": F.greatest("cid", "hub")})
     rows = rows.join(judged.select("u", "v", "shared"), ["u", "v"], "left").join(alone, "cid", "left")
@@ -231,6 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
     schema = T.StructType([T.StructField(c, k) for c, k in kinds])
     judged = docs.sparkSession.createDataFrame([], schema)
     members = bands.withColumn("component", F.col("cid"))
+    links = judged.select("u", "v")
     turn = 0
     while True:
         open_bands = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
@@ -242,7 +245,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         few = all_pairs <= 2 * rows
         last = few or turn >= spec.hub_rounds
         if turn == 1 and not few:
-            bands = unsettled = hold(_with_bounds(unsettled, first_hubs, judged, classes, docs, text, spec))
+            alone = hold(_alone(unsettled, classes, docs, text, spec))
+            bands = unsettled = hold(_with_bounds(unsettled, first_hubs, judged, alone, spec))
         if last:
             # A pair counts in the first of the bands that it shares only. A crowded band is split: each of its
             # parts of about `part` classes meets all classes of the band, in a task of its own.
@@ -263,16 +267,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         pairs = pairs.select(F.least("cid", "other").alias("u"), F.greatest("cid", "other").alias("v")).distinct()
         pairs = hold(pairs.join(judged, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
-            judged = hold(judged.unionByName(_confirmed(pairs, classes, docs, text, spec)))
+            found = hold(_confirmed(pairs, classes, docs, text, spec))
+            judged, links = judged.unionByName(found), links.unionByName(found.where("linked").select("u", "v"))
         if last:
             break
-        joined = connected_components(judged.where("linked").select("u", "v"))
+        joined = connected_components(links)
+        # Further links join these components: the stars stand for the links so far.
+        links = joined.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
         members = hold(
             bands.drop("component", "c").join(joined, bands["cid"] == joined["id"], "left")
             .withColumn("component", F.coalesce("component", "cid")).drop("id")
         )
         turn += 1
-    of_class = connected_components(judged.where("linked").select("u", "v"))
+    of_class = connected_components(links)
     # Classes, and documents that have rows in several classes, link doc_ids.
     led = classes.join(of_class, classes["cid"] == of_class["id"], "left").withColumn("k", F.coalesce("component", "cid"))
     led = hold(led.select("fp1", "fp2", "copies", "k", "doc_id"))
