@@ -113,3 +113,28 @@ def test_components_without_a_last_round(spark, monkeypatch):
                 if u != v:
                     lead[u] = lead[v] = min(lead[u], lead[v])
         assert got == lead and len(tables) <= most
+
+
+def test_tables_and_scans_of_a_call(frame, monkeypatch):
+    """Every scan, join and stage goes through the driver's memory: tables that rounds share are written once, not joined anew."""
+    random.seed(9)
+    text = lambda n: [f"w{random.randrange(500)}" for _ in range(n)]
+    rows = []
+    for g in range(30):
+        base = text(120)
+        for k in range(20):
+            words = list(base)
+            for _ in range(k // 2):
+                words[random.randrange(120)] = "changed"
+            rows.append((100 * g + k, " ".join(words)))
+    scans = []
+
+    def counted(df):
+        scans.append(df._jdf.queryExecution().sparkPlan().toString().count("FileScan"))
+        return cut(df)
+
+    for module in (dedup, components):
+        monkeypatch.setattr(module, "cut", counted)
+    got = Counter(tuple(r) for r in dedup.near_duplicates(frame(rows)).collect())
+    assert got == brute(rows, 5, 80)
+    assert max(scans) <= 7 and sum(scans) <= 60, scans

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from tremorlake.llm import quality, queries
@@ -88,3 +90,14 @@ def test_features_of_texts_without_words():
     for texts in ([""], [" "], ["a b", ""], ["", "a a a"], ["x", None, " \n", ""], []):
         alone = [next(quality.features(pa.array([t], pa.string()))).tolist() for t in texts]
         assert [f.tolist() for f in quality.features(pa.array(texts, pa.string()))] == alone
+
+
+def test_ratios_copy_no_rows():
+    """Counting takes a few tables of all buckets, not the rows once more."""
+    r = np.random.default_rng(4)
+    rows = [np.unique(r.integers(0, 1 << 16, 4000)).astype(np.int32) for _ in range(500)]
+    tracemalloc.start()
+    quality.log_count_ratios(rows, r.random(500) < 0.5, 1 << 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 << 20 < sum(row.nbytes for row in rows) // 2

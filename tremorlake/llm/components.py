@@ -20,27 +20,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not _are_stars(work):
         before, work = work, cut(_small_star(_large_star(work)))
         drop_cut(before)
-    stars = work.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return stars.unionByName(work.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return work.select(F.explode(F.array("u", "v")).alias("id"), F.col("v").alias("component")).distinct()
 
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether distinct edges (u > v) are stars around their least vertices: each u has one edge and is no v."""
-    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-    ends = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    each = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    ends = edges.select(F.posexplode(F.array("u", "v")).alias("down", "id"))
+    each = ends.groupBy("id").agg(F.sum(1 - F.col("down")).alias("up"), F.max("down").alias("down"))
     return not each.agg(F.max(F.expr("up > 1 OR up = 1 AND down = 1"))).first()[0]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each vertex links its larger neighbours to its least one (itself included): a row for each edge, some equal."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    """Each vertex links its larger neighbours to its least one (itself included): a row (u > v) for each edge (u > v), some equal."""
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each vertex links its smaller neighbours and itself to its least one."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Each vertex links its smaller neighbours and itself to its least one; of edges (u > v) again such edges."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

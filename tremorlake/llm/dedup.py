@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tremorlake.llm.components import connected_components
 from tremorlake.llm.runtime import cut, drop_cut, spread_join
@@ -141,14 +140,16 @@ def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spe
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, spec: NearDuplicates) -> DataFrame:
-    """Add `linked` and `shared`, the shingles in both, to pairs (u, v) of classes, from the full sets of their documents."""
-    ids = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
+    """A table (see `cut`) of pairs (u, v) of classes with `linked` and `shared`, the shingles in both, from the full sets of their documents."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
     sets = cut(_sets_of(ids, classes, docs, text, spec))
     joined = pairs.join(sets.select(F.col("cid").alias("v"), F.col("hashes").alias("b")), "v").join(
         sets.select(F.col("cid").alias("u"), F.col("hashes").alias("a")), "u"
     )
     shared = joined.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).alias("n"))
-    return shared.select("u", "v", (100 * F.col("shared") >= spec.percent * (F.col("n") - F.col("shared"))).alias("linked"), "shared")
+    found = cut(shared.select("u", "v", (100 * F.col("shared") >= spec.percent * (F.col("n") - F.col("shared"))).alias("linked"), "shared"))
+    drop_cut(sets)
+    return found
 
 
 #: What is known of a class in a band: how many of its shingles it can share with other
@@ -190,7 +191,7 @@ def _with_bounds(unsettled: DataFrame, hubs: DataFrame, judged: DataFrame, alone
     rows = rows.withColumn("reach", F.when(busy, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n")))
     rows = rows.withColumn("core", F.when(busy, F.coalesce(inside, "reach")).otherwise(F.col("n")))
     rows = rows.withColumn("rest", F.when(busy & inside.isNotNull(), F.col("reach") - inside).otherwise(F.col("reach")))
-    return rows.where(f"100 * reach >= {spec.percent} * n").select(*unsettled.drop("c").columns)
+    return rows.where(f"100 * reach >= {spec.percent} * n").select(*unsettled.columns)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -225,32 +226,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
         .dropDuplicates(["cid"])
         .select("cid", "n", "copies", F.explode("bands").alias("band"))
     )
-    bands = hold(bands)
-    shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    bands = hold(bands.join(shared, "band").withColumns({b: F.col("n").cast("long") for b in _BOUNDS}))
-
-    kinds = (("u", T.LongType()), ("v", T.LongType()), ("linked", T.BooleanType()), ("shared", T.LongType()))
-    schema = T.StructType([T.StructField(c, k) for c, k in kinds])
-    judged = docs.sparkSession.createDataFrame([], schema)
-    members = bands.withColumn("component", F.col("cid"))
-    links = judged.select("u", "v")
+    bands = cut(bands)
+    open_bands = hold(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
+    known = {b: F.col("n").cast("long") for b in _BOUNDS} | {"component": F.col("cid")}
+    unsettled = hold(bands.join(open_bands, "band").withColumns(known))
+    drop_cut(bands)
+
+    judged = links = None
     turn = 0
     while True:
-        open_bands = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-        open_bands = hold(open_bands.where("lo <> hi").select("band", "c"))
         rows, all_pairs = open_bands.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
         if not rows:
             break
-        unsettled = members.join(open_bands, "band")
+        if turn:
+            unsettled = hold(members.join(open_bands, "band"))
         few = all_pairs <= 2 * rows
         last = few or turn >= spec.hub_rounds
         if turn == 1 and not few:
             alone = hold(_alone(unsettled, classes, docs, text, spec))
-            bands = unsettled = hold(_with_bounds(unsettled, first_hubs, judged, alone, spec))
+            unsettled = hold(_with_bounds(unsettled, first_hubs, judged, alone, spec))
         if last:
             # A pair counts in the first of the bands that it shares only. A crowded band is split: each of its
             # parts of about `part` classes meets all classes of the band, in a task of its own.
-            left = unsettled.join(unsettled.groupBy("cid").agg(F.collect_list("band").alias("bands")), "cid").drop("c").join(open_bands, "band")
+            left = unsettled.join(unsettled.groupBy("cid").agg(F.collect_list("band").alias("bands")), "cid")
             left = left.withColumn("parts", F.ceil(F.col("c") / spec.part).cast("int"))
             right = left.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth"), F.col("component").alias("far"), F.col("bands").alias("bands_2"), *_other())
             left = left.withColumn("nth", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
@@ -265,27 +263,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", spec: NearDuplicates =
             pairs = unsettled.join(hubs, "band").where("component <> hub.component").select("cid", *_BOUNDS, *_other("hub."))
             pairs = pairs.where(_possible(spec))
         pairs = pairs.select(F.least("cid", "other").alias("u"), F.greatest("cid", "other").alias("v")).distinct()
-        pairs = hold(pairs.join(judged, ["u", "v"], "left_anti"))
-        if not pairs.isEmpty():
-            found = hold(_confirmed(pairs, classes, docs, text, spec))
-            judged, links = judged.unionByName(found), links.unionByName(found.where("linked").select("u", "v"))
+        pairs = hold(pairs.join(judged, ["u", "v"], "left_anti") if judged is not None else pairs)
+        if judged is None or not pairs.isEmpty():
+            found = _confirmed(pairs, classes, docs, text, spec)
+            held.append(found)
+            linked = found.where("linked").select("u", "v")
+            judged, links = (judged.unionByName(found), links.unionByName(linked)) if judged is not None else (found, linked)
         if last:
             break
         joined = connected_components(links)
         # Further links join these components: the stars stand for the links so far.
         links = joined.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
         members = hold(
-            bands.drop("component", "c").join(joined, bands["cid"] == joined["id"], "left")
+            unsettled.drop("component", "c").join(joined, unsettled["cid"] == joined["id"], "left")
             .withColumn("component", F.coalesce("component", "cid")).drop("id")
         )
+        open_bands = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
+        open_bands = hold(open_bands.where("lo <> hi").select("band", "c"))
         turn += 1
-    of_class = connected_components(links)
     # Classes, and documents that have rows in several classes, link doc_ids.
-    led = classes.join(of_class, classes["cid"] == of_class["id"], "left").withColumn("k", F.coalesce("component", "cid"))
-    led = hold(led.select("fp1", "fp2", "copies", "k", "doc_id"))
+    led = classes.withColumn("component", F.col("cid"))
+    if links is not None:
+        of_class = connected_components(links)
+        led = classes.join(of_class, classes["cid"] == of_class["id"], "left")
+    led = hold(led.select("fp1", "fp2", "copies", F.coalesce("component", "cid").alias("k"), "doc_id"))
+    n_classes, n_rows = led.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     lead = hold(led.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
-    led = hold(spread_join(led.drop("doc_id"), lead, ["k"], "rows", led.count()).select("fp1", "fp2", "copies", "least"))
-    found = spread_join(usable.select("fp1", "fp2", F.col("doc_id").alias("id")), led, ["fp1", "fp2"], "copies", usable.count())
+    led = hold(spread_join(led.drop("doc_id"), lead, ["k"], "rows", n_classes).select("fp1", "fp2", "copies", "least"))
+    found = spread_join(usable.select("fp1", "fp2", F.col("doc_id").alias("id")), led, ["fp1", "fp2"], "copies", n_rows)
     found = cut(found.select("id", "least").distinct())
     drop_cut(*held)
     several = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1")

@@ -97,8 +97,9 @@ def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray, buckets: int,
     """log of the share of a feature among positive documents over that among negative ones."""
     totals = {}
     for y in (True, False):
-        own = [r for r, p in zip(rows, positive, strict=True) if p == y]
-        counts = alpha + (np.bincount(np.concatenate(own), minlength=buckets) if own else np.zeros(buckets))
+        counts = np.full(buckets, alpha)
+        for row in (r for r, p in zip(rows, positive, strict=True) if p == y):
+            counts[row] += 1
         totals[y] = counts / counts.sum()
     return np.log(totals[True] / totals[False])
 
@@ -226,9 +227,13 @@ def train(
     # Arrow columns, not rows of Python numbers: the sample takes a few dozen MB on the driver.
     sample = _buckets_of(chosen, "t", ["doc_id", "y"], buckets).toArrow()
     found = [f.values.to_numpy() for f in sample.column("found")]
+    # The ids are distinct, whatever their type.
     ids, y = sample.column("doc_id").to_pylist(), sample.column("y").to_numpy()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i].tobytes()))
-    return fit([found[i] for i in order], y[order] == 1, buckets, share)
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    model = fit([found[i] for i in order], y[order] == 1, buckets, share)
+    del sample, found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
