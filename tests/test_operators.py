@@ -49,6 +49,28 @@ def test_sampler_finds_a_corner(spark):
     assert again == best
 
 
+def test_best_line_without_history(spark):
+    """Chains side by side end where the history of each one does, for groups of any length, place and spread."""
+    random = np.random.default_rng(5)
+    rows = []
+    for k, n in enumerate((3, 4, 9, 60, 200)):
+        x = np.sort(random.uniform(0, 2e6, n)) + 1.7e9
+        rows += [(f"g{k}", float(p), float(q), 2.0 if k < 4 else 1e-9) for p, q in zip(x, random.exponential(10, n) + (x > x[n // 2]) * 40)]
+    rows += [(None, float(i // 4), float(i % 3), 0.5) for i in range(12)] + [("still", 7.0, float(i), 1.0) for i in range(6)]
+    rows += [("g3", None, 1.0, 1.0), ("g3", 1.7e9, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, s double")
+    whole = sampler.best_of_mode(sampler.connected_lines(df, "k", "x", "y", "s", total=700), "k", 100)
+    plan = sampler.connected_lines(df.repartition(3), "k", "x", "y", "s", total=700, burn_in=100)
+    assert plan.columns == whole.columns
+    want, got = ({q.k: q for q in d.collect()} for d in (whole, plan))
+    assert set(got) == {"g1", "g2", "g3", "g4", None, "still"}
+    assert all(got[k] == want[k] for k in ("g1", "g2", "g3", "g4", "still"))
+    for k in ("g2", "g3"):  # the misfit of sums is that of the samples
+        p, q, s = np.array([r[1:] for r in rows if r[0] == k and r[1] and r[2] == r[2]]).T
+        assert got[k].misfit == pytest.approx((((q - np.interp(p, got[k].xs, got[k].ys)) / (2 * s)) ** 2).sum(), rel=1e-7)
+        assert len(got[k].xs) == got[k].partitions + 1 and got[k].xs[0] == p.min() and got[k].xs[-1] == p.max()
+
+
 def test_event_id_of_missing_parts(spark):
     df = spark.createDataFrame([("2010-02-27", "8.8", None, None, "30.0")], "d string, m string, a string, o string, h string")
     made = df.select(columns.event_id(F.to_date("d"), F.col("m"), F.col("a"), F.col("o"), F.col("h")).alias("id"))
