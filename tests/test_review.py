@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tremorlake.operators import relations
+from tremorlake.operators import curation, relations
 
 
 def test_nearest_is_the_same_in_blocks(spark):
@@ -28,3 +28,13 @@ def test_nearest_sample(spark):
     df = spark.createDataFrame([([0.0, 5.0, 1.0, 1.0],), ([],)], "a array<double>")
     got = [r[0] for r in df.select(relations.nearest_sample(F.col("a"), 0.5, F.lit(1.2), F.lit(1.0))).collect()]
     assert got == [2, None]
+
+
+def test_channels_of_one_name_are_matched_in_many_tasks(spark):
+    """The pairs of one station and name do not all come from one task; each comes as often as its rows."""
+    files = spark.createDataFrame([(k % 90, 1, "HNE") for k in range(180)] + [(200, 1, None), (201, None, "HNE"), (202, 2, "HNN")], "file int, station int, channel string")
+    traces = spark.createDataFrame([(k, 1, "HNE" if k % 2 else "7", "HNE") for k in range(60)] + [(80, 2, "HNN", "HNN"), (81, 1, "HNZ", "HNE"), (82, 2, "7", None)], "trace int, station int, channel string, chan_id string")
+    got = curation.match_channels(files, traces, ["station"])
+    assert got.columns == ["file", "station", "channel", "trace_channel", "chan_id", "trace"]
+    assert sorted((q.file, q.trace) for q in got.collect()) == sorted([(k % 90, t) for k in range(180) for t in range(60)] + [(202, 80)])
+    assert max(r[0] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()) < 180 * 60 / 3

@@ -149,12 +149,27 @@ def within_segments(samples: DataFrame, segments: DataFrame, key: str, x: str, l
     return joined.where(F.col(x).between(F.col(low), F.col(high))).drop("__level", "__cell")
 
 
-def match_channels(files: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
-    """Channels of files with the traces of that name, or of a number whose chan_id is that name."""
+#: Parts that the files of each name are dealt to.
+SHARES = 64
+
+
+def match_channels(files: DataFrame, traces: DataFrame, keys: list[str], shares: int = SHARES) -> DataFrame:
+    """Channels of files with the traces of that name, or of a number whose chan_id is that name.
+
+    There are few keys and names, and each meets all traces of its own: the files of a name are dealt to `shares` parts,
+    and each trace goes to all of them, so that the pairs come from all tasks. A number of partitions is given, or else
+    adaptive execution joins the few bytes that go in, and all pairs, in one task.
+    """
     number = F.col("channel").rlike("^[0-9]+$") & (F.col("chan_id").isNotNull())
     names = F.array_compact(F.array_distinct(F.array(F.col("channel"), F.when(number, F.col("chan_id")))))
     named = traces.withColumn("__name", F.explode(names)).withColumnRenamed("channel", "trace_channel")
-    return files.join(named, [files[k] == named[k] for k in keys] + [files["channel"] == named["__name"]]).select(files["*"], "trace_channel", "chan_id", *[c for c in named.columns if c not in (*keys, "trace_channel", "chan_id", "__name")])
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = named.withColumn("__share", F.explode(F.array(*map(F.lit, range(shares))))).repartition(tasks, *keys, "__name", "__share")
+    dealt = files.withColumns({"__name": F.col("channel"), "__share": F.pmod(F.xxhash64(*files.columns), F.lit(shares)).cast("int")}).repartition(tasks, *keys, "__name", "__share")
+    added = [c for c in named.columns if c not in (*keys, "trace_channel", "chan_id", "__name")]
+    # Neither side is sent whole to all tasks: both grow.
+    joined = dealt.alias("f").join(every.alias("t").hint("merge"), [F.col(f"f.{c}") == F.col(f"t.{c}") for c in (*keys, "__name", "__share")])
+    return joined.select(*[F.col(f"f.{c}") for c in files.columns], "t.trace_channel", "t.chan_id", *[F.col(f"t.{c}") for c in added])
 
 
 def group_changes(rows: DataFrame, key: str, order: list[str], within: list[str]) -> DataFrame:
