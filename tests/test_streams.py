@@ -81,3 +81,15 @@ def test_reviews_in_any_order_across_restarts(spark, tmp_path, seed):
     got = table.read(spark)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert got.where("corrected").count() >= 1 and got.where("changes > 1").count() >= 1
+
+
+def test_reviews_are_kept_by_an_aggregate(spark, tmp_path):
+    """No row of a stream of decisions goes through Python; a pick's changes count what its batches changed."""
+    table = KeyedTable(str(tmp_path / "t"), ("event", "station"), 4)
+    rows = [[("a", "s", None, 1, "valid", None), ("b", "s", 9, 1, "corrected", None), ("c", None, 1, None, "discarded", True)], [("a", "s", 5, 1, "valid", None)] * 3, [("a", "s", 3, 2, "postponed", True)], [("a", "s", 8, 2, "corrected", None)], [("b", "s", 2, 4, "valid", False)]]
+    arrive(spark, tmp_path / "in", rows, DECISIONS)
+    query = keep_reviews(arriving(spark, str(tmp_path / "in"), DECISIONS), table, str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"}
+    got = {q.event: (q.changes, q.at, q.position, q.status, q.method, q.corrected) for q in table.read(spark).collect()}
+    assert got == {"a": (2, 5, 1, "VALID", "Automatic", True), "b": (1, 2, 4, "VALID", "Automatic", True), "c": (1, 1, None, "DISCARDED", "Manual", False)}
