@@ -38,6 +38,25 @@ def test_spectrum_at_zero_and_rotation(spark):
     assert rows[1].rotd100 == pytest.approx(sa[1][1] * np.sqrt(2), rel=1e-6)
 
 
+def test_turned_peaks_are_those_of_all_samples():
+    """Left out are only samples inside the hull: thin, round and flat orbits, points on a line, equal and missing ones."""
+    random = np.random.default_rng(4)
+    turns = np.pi * np.arange(181) / 180
+    turn = np.stack([np.cos(turns), np.sin(turns)])
+    a, b = random.normal(size=(2, 90, 40)) * np.exp(random.normal(size=(2, 90, 1)) * 3)
+    a[:20], b[:20] = np.cos(np.arange(40) * 0.7), np.sin(np.arange(40) * 0.7)  # all on the hull
+    b[20:30] = 3 * a[20:30]
+    a[30:35] = b[30:35] = 0.0
+    a[35:40], b[35:40] = a[35:40, :1], b[35:40, :1]
+    b[40:45] = 0.0
+    want = np.abs(a[:, :, None] * turn[0] + b[:, :, None] * turn[1]).max(axis=1)
+    got = spectra.turned_peaks(a, b, turn)
+    assert np.abs(got - want).max(axis=1) == pytest.approx(np.zeros(90), abs=1e-12 * max(np.abs(a).max(), np.abs(b).max()))
+    assert got == pytest.approx(want, rel=1e-12, abs=1e-12)
+    a[50, 3] = np.nan
+    assert np.isnan(spectra.turned_peaks(a, b, turn)[50]).all()
+
+
 def test_sampler_finds_a_corner(spark):
     x = np.linspace(0, 10, 120)
     y = np.where(x < 4, 0.0, 3 * (x - 4))

@@ -44,6 +44,50 @@ def _spectrum(a: np.ndarray, dt: float, t: np.ndarray, damping: float) -> np.nda
     return out
 
 
+#: Directions in which the outermost samples of all oscillators are looked for first, and oscillators that turn at once.
+FIRST_TURNS = 12
+TURNED = 32
+
+
+def turned_peaks(a: np.ndarray, b: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Greatest |a cos + b sin| (row x angle) over the samples of each row of `a` and `b`; `turn` has the cosines and the sines.
+
+    Only corners of the hull of the points (a, b) and their opposites are outermost in some direction. The outermost
+    ones in a few directions make a polygon; what lies in it is left out, and only the rest is turned by all angles.
+    """
+    first = np.pi * np.arange(FIRST_TURNS) / FIRST_TURNS
+    rows, corners = np.arange(len(a)), []
+    keep = np.zeros(a.shape, dtype=bool)
+    for c, s in zip(np.cos(first), np.sin(first), strict=True):
+        v = a * c
+        v += b * s
+        j = np.abs(v).argmax(axis=1)
+        keep[rows, j] = True
+        side = np.where(v[rows, j] < 0, -1.0, 1.0)
+        corners.append((side * a[rows, j], side * b[rows, j]))
+    corners.append((-corners[0][0], -corners[0][1]))
+    for (x0, y0), (x1, y1) in zip(corners, corners[1:]):
+        nx, ny = y1 - y0, x0 - x1
+        v = a * nx[:, None]
+        v += b * ny[:, None]
+        keep |= np.abs(v, out=v) > (nx * x0 + ny * y0)[:, None]
+    # What is not finite is in no polygon.
+    keep |= ~np.isfinite(a + b)
+    many = keep.sum(axis=1)
+    out = np.empty((len(a), turn.shape[1]))
+    order = np.argsort(many, kind="stable")
+    for i in range(0, len(order), TURNED):
+        part = order[i : i + TURNED]
+        width = many[part[-1]]
+        row, sample = np.nonzero(keep[part])
+        place = np.arange(len(row)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+        both = np.zeros((width, len(part), 2))
+        both[place, row, 0], both[place, row, 1] = a[part[row], sample], b[part[row], sample]
+        v = both.reshape(-1, 2) @ turn
+        out[part] = np.abs(v, out=v).reshape(width, len(part), -1).max(axis=0)
+    return out
+
+
 def rotated_spectra(df: DataFrame, keys: list[str], x: str, y: str, dt: float, periods: list[float], damping: float, angles: int) -> DataFrame:
     """Long rows (keys, period, rotd0, rotd50, rotd100, geometric_mean) over `angles` angles from 0 to pi.
 
@@ -77,6 +121,9 @@ def rotated_spectra(df: DataFrame, keys: list[str], x: str, y: str, dt: float, p
 #: Kinds of spectra of a record.
 KINDS = ("component_1", "component_2", "component_3", "geometric_mean", "rotd0", "rotd50", "rotd100")
 
+#: Records whose rows go to Spark at once.
+RECORDS_AT_ONCE = 16
+
 
 def spectral_batch(df: DataFrame, keys: list[str], values: list[str], dt: float, periods: list[float], dampings: list[float], angles: int) -> DataFrame:
     """Long rows (keys, damping, period and a column for each of KINDS) of records of three components.
@@ -91,27 +138,36 @@ def spectral_batch(df: DataFrame, keys: list[str], values: list[str], dt: float,
     turns = np.pi * np.arange(angles) / max(angles - 1, 1)
     turn = np.stack([np.cos(turns), np.sin(turns)])
 
+    moving, still = np.where(rest, 1.0, t), np.flatnonzero(rest)
+
     def moved(a: np.ndarray) -> np.ndarray:
-        return np.where(rest, a[:, None], displacement(a, dt, np.where(rest, 1.0, t), xi))
+        u = displacement(a, dt, moving, xi)
+        u[:, still] = a[:, None]
+        return np.ascontiguousarray(u.T)
+
+    def spectra_of(arrays: list[np.ndarray]) -> dict[str, np.ndarray]:
+        found = dict.fromkeys(KINDS, np.full(len(t), np.nan))
+        u = [moved(a) if len(a) else None for a in arrays]
+        turned = u[0] is not None and u[1] is not None
+        for k in range(2 if turned else 0, 3):
+            if u[k] is not None:
+                found[KINDS[k]] = scale * np.abs(u[k]).max(axis=1)
+        if turned:
+            n = min(len(arrays[0]), len(arrays[1]))
+            sa = scale[:, None] * turned_peaks(u[0][:, :n], u[1][:, :n], turn)
+            found |= {"component_1": sa[:, 0], "component_2": sa[:, (angles - 1) // 2], "rotd0": sa.min(axis=1), "rotd50": np.median(sa, axis=1), "rotd100": sa.max(axis=1)}
+            found["geometric_mean"] = np.sqrt(found["component_1"] * found["component_2"])
+        return found
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                arrays = [np.asarray(getattr(row, f"v{k}_"), dtype=float) if getattr(row, f"v{k}_") is not None else np.zeros(0) for k in range(3)]
-                found = dict.fromkeys(KINDS, np.full(len(t), np.nan))
-                u = [moved(a) if len(a) else None for a in arrays]
-                for k in range(3):
-                    if u[k] is not None:
-                        found[KINDS[k]] = scale * np.abs(u[k]).max(axis=0)
-                if u[0] is not None and u[1] is not None:
-                    n = min(len(arrays[0]), len(arrays[1]))
-                    both = np.stack([u[0][:n], u[1][:n]], axis=-1)
-                    sa = scale[:, None] * np.stack([np.abs(both[:, i] @ turn).max(axis=0) for i in range(len(t))])
-                    found |= {"component_1": sa[:, 0], "component_2": sa[:, (angles - 1) // 2], "rotd0": sa.min(axis=1), "rotd50": np.median(sa, axis=1), "rotd100": sa.max(axis=1)}
-                    found["geometric_mean"] = np.sqrt(found["component_1"] * found["component_2"])
-                out = pd.DataFrame({"damping": xi, "period": t} | {k: pd.Series(v).astype("Float64") for k, v in found.items()})
-                for i, k in enumerate(keys):
-                    out.insert(i, k, getattr(row, k))
+            for i in range(0, len(batch), RECORDS_AT_ONCE):
+                part = batch.iloc[i : i + RECORDS_AT_ONCE]
+                rows = zip(*(part[f"v{k}_"] for k in range(3)), strict=True)
+                found = [spectra_of([np.asarray(a, dtype=float) if a is not None else np.zeros(0) for a in row]) for row in rows]
+                out = pd.DataFrame({"damping": np.tile(xi, len(part)), "period": np.tile(t, len(part))} | {k: pd.Series(np.concatenate([f[k] for f in found])).astype("Float64") for k in KINDS})
+                for j, k in enumerate(keys):
+                    out.insert(j, k, part[k].repeat(len(t)).array)
                 yield out
 
     return df.select(*keys, *[F.col(v).alias(f"v{k}_") for k, v in enumerate(values)]).mapInPandas(made, schema)
